@@ -1,9 +1,7 @@
-"""Calendar features of a date and an hour of day."""
+"""Calendar features of a date and an hour of day, given as column names or SQL."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,56 +13,71 @@ WORK_HOURS = (8, 18)
 CYCLES = {"hour": 24, "day_of_week": 7, "month": 12}
 
 
-def flag(condition: Column) -> Column:
-    """1 where the condition holds, 0 where it does not or is unknown."""
-    return F.coalesce(condition, F.lit(False)).cast("int")
+def flag(condition: str) -> Column:
+    """1 where the SQL condition holds, 0 where it does not or is unknown."""
+    return F.expr(f"CAST(coalesce({condition}, false) AS INT)")
+
+
+def one_of(column: str, values: list[int]) -> str:
+    return f"{column} IN ({', '.join(map(str, values))})"
 
 
-def parse_date(text: Column, pattern: str = "dd/MM/yyyy") -> Column:
+def parse_date(text: str, pattern: str = "dd/MM/yyyy") -> Column:
     return F.to_date(text, pattern)
 
 
-def date_parts(date: Column) -> dict[str, Column]:
+def date_parts(date: str = "date") -> dict[str, Column]:
+    """Monday is 0."""
     return {
-        "day_of_week": F.weekday(date),
-        "month": F.month(date),
-        "day_of_month": F.dayofmonth(date),
+        "day_of_week": F.expr(f"weekday({date})"),
+        "month": F.expr(f"month({date})"),
+        "day_of_month": F.expr(f"day({date})"),
     }
 
 
-def weekend_flags(date: Column) -> dict[str, Column]:
-    return {"is_weekend": flag(F.weekday(date) >= 5), "is_weekday": flag(F.weekday(date) < 5)}
+def weekend_flags(date: str = "date") -> dict[str, Column]:
+    return {"is_weekend": flag(f"weekday({date}) >= 5"), "is_weekday": flag(f"weekday({date}) < 5")}
 
 
-def cyclical(value: Column, period: int, name: str) -> dict[str, Column]:
-    angle = F.lit(2 * math.pi) * value / F.lit(period)
-    return {f"{name}_sin": F.sin(angle), f"{name}_cos": F.cos(angle)}
+def cyclical(value: str, period: int, name: str) -> dict[str, Column]:
+    angle = f"2 * pi() * {value} / {period}"
+    return {f"{name}_sin": F.expr(f"sin({angle})"), f"{name}_cos": F.expr(f"cos({angle})")}
 
 
-def rush_hour_flags(hour: Column) -> dict[str, Column]:
+def cycles(date: str = "date", hour: str | None = "hour") -> dict[str, Column]:
+    """Position in the day (if there is an hour), the week and the year."""
+    daily = cyclical(hour, CYCLES["hour"], "hour") if hour else {}
+    return (
+        daily
+        | cyclical(f"weekday({date})", CYCLES["day_of_week"], "day_of_week")
+        | cyclical(f"month({date})", CYCLES["month"], "month")
+    )
+
+
+def rush_hour_flags(hour: str = "hour") -> dict[str, Column]:
     return {
-        "is_morning_rush": flag(hour.isin(MORNING_RUSH)),
-        "is_evening_rush": flag(hour.isin(EVENING_RUSH)),
-        "is_rush_hour": flag(hour.isin(MORNING_RUSH + EVENING_RUSH)),
+        "is_morning_rush": flag(one_of(hour, MORNING_RUSH)),
+        "is_evening_rush": flag(one_of(hour, EVENING_RUSH)),
+        "is_rush_hour": flag(one_of(hour, MORNING_RUSH + EVENING_RUSH)),
     }
 
 
-def part_of_day_flags(hour: Column) -> dict[str, Column]:
-    return {f"time_of_day_{part}": flag(hour.between(*span)) for part, span in PARTS_OF_DAY.items()}
+def part_of_day_flags(hour: str = "hour") -> dict[str, Column]:
+    return {
+        f"time_of_day_{part}": flag(f"{hour} BETWEEN {first} AND {last}")
+        for part, (first, last) in PARTS_OF_DAY.items()
+    }
 
 
-def work_hour_flag(date: Column, hour: Column) -> dict[str, Column]:
-    return {"is_work_hour": flag(hour.between(*WORK_HOURS) & (F.weekday(date) < 5))}
+def work_hour_flag(date: str = "date", hour: str = "hour") -> dict[str, Column]:
+    first, last = WORK_HOURS
+    return {"is_work_hour": flag(f"{hour} BETWEEN {first} AND {last} AND weekday({date}) < 5")}
 
 
-def calendar_features(date: Column, hour: Column) -> dict[str, Column]:
+def calendar_features(date: str = "date", hour: str = "hour") -> dict[str, Column]:
     """All nineteen, in the order of the feature table."""
-    parts = date_parts(date)
-    cycles = {}
-    for name, value in (("hour", hour), ("day_of_week", parts["day_of_week"]), ("month", parts["month"])):
-        cycles |= cyclical(value, CYCLES[name], name)
     return (
-        parts | weekend_flags(date) | cycles | rush_hour_flags(hour)
+        date_parts(date) | weekend_flags(date) | cycles(date, hour) | rush_hour_flags(hour)
         | part_of_day_flags(hour) | work_hour_flag(date, hour)
     )
 

@@ -13,9 +13,9 @@ from tidegrid.functions.calendar import flag
 MAX_LEVELS = 1000
 
 
-def binary_encodes(holiday: Column, functioning: Column) -> dict[str, Column]:
+def binary_encodes(holiday: str = "holiday", functioning: str = "functioning") -> dict[str, Column]:
     """NULL counts as 0."""
-    return {"is_holiday": flag(holiday == "Holiday"), "is_functioning": flag(functioning == "Yes")}
+    return {"is_holiday": flag(f"{holiday} = 'Holiday'"), "is_functioning": flag(f"{functioning} = 'Yes'")}
 
 
 def levels_of(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[str]:
@@ -29,7 +29,9 @@ def levels_of(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[
 
 def one_hot(column: str, levels: Sequence[str], prefix: str) -> dict[str, Column]:
     """0/1 per level but the first in sort order; NULL gives all zeros."""
-    return {f"{prefix}_{level}": flag(F.col(column) == level) for level in sorted(levels)[1:]}
+    return {
+        f"{prefix}_{level}": F.coalesce(F.col(column) == level, F.lit(False)).cast("int") for level in sorted(levels)[1:]
+    }
 
 
 def factor_codes(

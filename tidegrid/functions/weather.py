@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegrid.functions.calendar import EVENING_RUSH, MORNING_RUSH, flag
+from tidegrid.functions.calendar import EVENING_RUSH, MORNING_RUSH, flag, one_of
 
 # Thresholds and coefficients of the derived measurements.
 COMFORT_TEMPERATURE = (10, 25)
@@ -15,55 +15,48 @@ WIND_FACTOR = 0.7
 HUMIDITY_FACTOR = 0.4
 
 
-def temperature_interactions(temperature: Column, hour: Column) -> dict[str, Column]:
-    rush = flag(hour.isin(MORNING_RUSH + EVENING_RUSH))
+def temperature_interactions(temperature: str = "temperature", hour: str = "hour") -> dict[str, Column]:
+    rush = one_of(hour, MORNING_RUSH + EVENING_RUSH)
     return {
-        "temp_x_hour": temperature * hour,
-        "temp_x_is_rush_hour": temperature * rush,
-        "temp_squared": temperature * temperature,
+        "temp_x_hour": F.expr(f"{temperature} * {hour}"),
+        "temp_x_is_rush_hour": F.expr(f"{temperature} * CAST(coalesce({rush}, false) AS INT)"),
+        "temp_squared": F.expr(f"{temperature} * {temperature}"),
     }
 
 
-def comfort_flag(temperature: Column, humidity: Column) -> dict[str, Column]:
+def comfort_flag(temperature: str = "temperature", humidity: str = "humidity") -> dict[str, Column]:
     low, high = COMFORT_TEMPERATURE
-    mild = (temperature > low) & (temperature < high)
-    return {"is_comfortable_weather": flag(mild & (humidity < COMFORT_HUMIDITY))}
+    mild = f"{temperature} > {low} AND {temperature} < {high}"
+    return {"is_comfortable_weather": flag(f"{mild} AND {humidity} < {COMFORT_HUMIDITY}")}
 
 
-def precipitation_flags(rainfall: Column, snowfall: Column) -> dict[str, Column]:
+def precipitation_flags(rainfall: str = "rainfall", snowfall: str = "snowfall") -> dict[str, Column]:
     return {
-        "has_rain": flag(rainfall > 0),
-        "has_snow": flag(snowfall > 0),
-        "has_precipitation": flag((rainfall > 0) | (snowfall > 0)),
+        "has_rain": flag(f"{rainfall} > 0"),
+        "has_snow": flag(f"{snowfall} > 0"),
+        "has_precipitation": flag(f"{rainfall} > 0 OR {snowfall} > 0"),
     }
 
 
-def bad_weather_flags(rainfall: Column, snowfall: Column, visibility: Column) -> dict[str, Column]:
-    poor = visibility < LOW_VISIBILITY
-    return {
-        "low_visibility": flag(poor),
-        "bad_weather": flag((rainfall > 0) | (snowfall > 0) | poor),
-    }
+def bad_weather_flags(
+    rainfall: str = "rainfall", snowfall: str = "snowfall", visibility: str = "visibility"
+) -> dict[str, Column]:
+    poor = f"{visibility} < {LOW_VISIBILITY}"
+    return {"low_visibility": flag(poor), "bad_weather": flag(f"{rainfall} > 0 OR {snowfall} > 0 OR {poor}")}
 
 
-def wind_chill(temperature: Column, wind_speed: Column) -> dict[str, Column]:
-    return {"wind_chill": temperature - wind_speed * F.lit(WIND_FACTOR)}
+def wind_chill(temperature: str = "temperature", wind_speed: str = "wind_speed") -> dict[str, Column]:
+    return {"wind_chill": F.expr(f"{temperature} - {wind_speed} * {WIND_FACTOR}D")}
 
 
-def apparent_temperature(temperature: Column, humidity: Column) -> dict[str, Column]:
-    dryness = 1 - humidity / 100
-    return {"apparent_temp": temperature - F.lit(HUMIDITY_FACTOR) * (temperature - 10) * dryness}
+def apparent_temperature(temperature: str = "temperature", humidity: str = "humidity") -> dict[str, Column]:
+    felt = f"{temperature} - {HUMIDITY_FACTOR}D * ({temperature} - 10) * (1 - {humidity} / 100)"
+    return {"apparent_temp": F.expr(felt)}
 
 
 def interaction_features() -> dict[str, Column]:
     """All eleven over the standard column names, in the order of the feature table."""
-    temperature, humidity = F.col("temperature"), F.col("humidity")
-    rainfall, snowfall = F.col("rainfall"), F.col("snowfall")
     return (
-        temperature_interactions(temperature, F.col("hour"))
-        | comfort_flag(temperature, humidity)
-        | precipitation_flags(rainfall, snowfall)
-        | bad_weather_flags(rainfall, snowfall, F.col("visibility"))
-        | wind_chill(temperature, F.col("wind_speed"))
-        | apparent_temperature(temperature, humidity)
+        temperature_interactions() | comfort_flag() | precipitation_flags() | bad_weather_flags()
+        | wind_chill() | apparent_temperature()
     )

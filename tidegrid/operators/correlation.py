@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.quality import numeric_columns
 
-# Above this many pairs one generated aggregate gets too large to compile.
-MAX_PAIR_EXPRESSIONS = 120
+# Above this many pairs one generated aggregate takes longer to compile than the
+# matrix products take to run.
+MAX_PAIR_EXPRESSIONS = 30
 
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 _SUMS_SCHEMA = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)

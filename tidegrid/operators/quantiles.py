@@ -75,9 +75,13 @@ def quantiles(
     ])).alias("_o")).select(*keys, "_o.*")
 
     # rank the distinct values inside each bracket
-    hit = F.filter("_brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    hits = []
+    for i in indexes:
+        b = F.get("_brackets", F.lit(i))
+        hits.append(F.when((F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]), b))
     inside = (
-        joined.select(*keys, "_v", F.explode(hit).alias("_b"))
+        joined.select(*keys, "_v", F.explode(F.array(*hits)).alias("_b"))
+        .where(F.col("_b").isNotNull())
         .groupBy(*keys, F.col("_b.i").alias("_i"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.columns import FEATURE_SETS, RAW_TARGET, REPLACED, TARGET
+from tidegrid.operators.quality import drop_incomplete
 from tidegrid.timeline import Timeline
 
 
@@ -51,7 +52,7 @@ def complement(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows with no NULL or NaN in ``columns`` (all by default)."""
-    return df.dropna("any", subset=list(columns) if columns else None)
+    return drop_incomplete(df, columns)
 
 
 def head(df: DataFrame, timeline: Timeline, n: int) -> DataFrame:

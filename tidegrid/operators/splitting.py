@@ -45,12 +45,16 @@ def split_stratified(
     """
     probabilities = [i / bins for i in range(bins + 1)]
     wide = quantiles(df.select(F.col(target).cast("double").alias("_y")), "_y", probabilities)
-    breaks = wide.agg(F.array_sort(F.array_distinct(F.collect_list("value")))).scalar()
+    breaks = wide.agg(F.array_sort(F.collect_list("value"))).scalar()
     y = F.col(target).cast("double")
-    inner = F.slice(breaks, F.lit(2), F.greatest(F.size(breaks) - 2, F.lit(0)))
-    stratum = F.when(y.isNotNull(), F.size(F.filter(inner, lambda b: b < F.col("_y"))))
+    # a bin starts at each break that differs from the one before and from the last
+    inner = [
+        f"IF(_breaks[{i}] > _breaks[{i - 1}] AND _breaks[{i}] < _breaks[{bins}] AND _y > _breaks[{i}], 1, 0)"
+        for i in range(1, bins)
+    ]
+    stratum = F.expr(f"IF(_y IS NOT NULL, {' + '.join(inner) or '0'}, NULL)")
     place = F.struct((hashed if hashed is not None else key_hash(keys, seed)).alias("h"), *keys)
-    rows = df.withColumn("_y", y).withColumn("_stratum", stratum).withColumn("_place", place)
+    rows = df.withColumns({"_y": y, "_breaks": breaks}).withColumns({"_stratum": stratum, "_place": place})
     ranked = rows.select("_stratum", "_place", hash_bucket(F.col("_place.h"), bits).alias("_bucket"))
     ranked = ranked.where(F.col("_stratum").isNotNull())
 

@@ -26,10 +26,10 @@ def feature_table(raw: DataFrame, timeline: Timeline, seasons: Sequence[str] = t
     """
     windowed = add_window_features(raw.withColumn(TARGET, F.col(RAW_TARGET)), timeline)
     return windowed.withColumns(
-        calendar_features(F.col("date"), F.col("hour"))
+        calendar_features()
         | interaction_features()
         | one_hot("season", seasons, "Season")
-        | binary_encodes(F.col("holiday"), F.col("functioning"))
+        | binary_encodes()
     )
 
 

@@ -33,9 +33,9 @@ def r6(column: Column | str, name: str | None = None) -> Column:
     return out.alias(name or (column if isinstance(column, str) else None))
 
 
-def s6(expression: str, name: str | None = None) -> str:
+def s6(expression: str, name: str | None = None, digits: int = 6) -> str:
     """SQL twin of ``r6``; adding zero turns -0.0 into 0.0."""
-    return f"round({expression}, 6) + 0.0 AS {name or expression}"
+    return f"round({expression}, {digits}) + 0.0 AS {name or expression}"
 
 
 def hourly_sql(series: str = "user_id") -> str:
@@ -174,12 +174,13 @@ def features_sql(source: str = "hourly", name: str = "feat") -> str:
     return f",\n{name} AS (SELECT *, demand AS target, {SPLIT_SQL} AS split,\n  {columns}\n  FROM {source})"
 
 
-def shown(names) -> list[Column]:
-    return [F.col(n) if n in INTEGER_FEATURES or n in ("demand", "target") else r6(n) for n in names]
+def shown(names, digits: int = 6) -> list[Column]:
+    plain = INTEGER_FEATURES | {"demand", "target"}
+    return [F.expr(n if n in plain else f"round({n}, {digits}) AS {n}") for n in names]
 
 
-def shown_sql(names) -> str:
-    return ", ".join(n if n in INTEGER_FEATURES or n in ("demand", "target") else s6(n) for n in names)
+def shown_sql(names, digits: int = 6) -> str:
+    return ", ".join(n if n in INTEGER_FEATURES or n in ("demand", "target") else s6(n, digits=digits) for n in names)
 
 
 def predictions(spark: SparkSession, folder: str, series: str = "user_id") -> DataFrame:

@@ -173,9 +173,9 @@ _ERRORS_SQL = predictions_sql("event_type") + ",\ne AS (SELECT model, predicted
 
 
 @query("g17_residual_histogram", _ERRORS_SQL + f""",
-span AS (SELECT model, min(error) AS lo, max(error) AS hi FROM e GROUP BY model),
+reach AS (SELECT model, min(error) AS lo, max(error) AS hi FROM e GROUP BY model),
 b AS (SELECT e.model, lo, hi, CAST(least(floor((error - lo) * 50 / CAST(hi - lo AS DOUBLE)) + 1, 50) AS INTEGER) AS bin
-      FROM e JOIN span ON e.model = span.model)
+      FROM e JOIN reach ON e.model = reach.model)
 SELECT model, bin, {s6('lo + (hi - lo) / 50.0e0 * (bin - 1)', 'bin_from')}, {s6('lo + (hi - lo) / 50.0e0 * bin', 'bin_to')},
        count(*) AS frequency
 FROM b GROUP BY model, lo, hi, bin""")

@@ -213,12 +213,12 @@ def g12(spark, folder):
 
 
 @query("g12_scaler_per_series", hourly_sql() + f"""
-SELECT series, 'temperature' AS feature, {s6('avg(temperature)', 'mean')},
-       {s6('CASE WHEN stddev_pop(temperature) = 0 THEN 1.0e0 ELSE stddev_pop(temperature) END', 'scale')}
+SELECT series, 'temperature' AS feature, {s6('avg(temperature)', 'mean', 9)},
+       {s6('CASE WHEN stddev_pop(temperature) = 0 THEN 1.0e0 ELSE stddev_pop(temperature) END', 'scale', 9)}
 FROM hourly WHERE {SPLIT_SQL} = 'train' GROUP BY series""")
 def g12_series(spark, folder):
     stats = scaling.fit_scaler(_scale_input(spark, folder).where("split = 'train'"), ["temperature"], ["series"])
-    return stats.select("series", "feature", r6("mean"), r6("scale"))
+    return stats.select("series", "feature", F.round("mean", 9).alias("mean"), F.round("scale", 9).alias("scale"))
 
 
 def _z_sql(column: str) -> str:

@@ -37,20 +37,20 @@ def _part(source: dict[str, str], *names: str) -> dict[str, str]:
 SELECT series, ts, strftime(date, '%d/%m/%Y') AS date_text, date AS parsed FROM daily""")
 def d01(spark, folder):
     daily = daily_orders(spark, folder).withColumn("date_text", F.date_format("date", "dd/MM/yyyy"))
-    return daily.select(*KEYS, "date_text", calendar.parse_date(F.col("date_text")).alias("parsed"))
+    return daily.select(*KEYS, "date_text", calendar.parse_date("date_text").alias("parsed"))
 
 
 @query("d02_calendar_parts", DAILY_SQL + f"""
 SELECT series, ts, {', '.join(f'{CALENDAR_SQL[n]} AS {n}' for n in ('day_of_week', 'month', 'day_of_month'))} FROM daily""")
 def d02(spark, folder):
-    return daily_orders(spark, folder).withColumns(calendar.date_parts(F.col("date"))).select(
+    return daily_orders(spark, folder).withColumns(calendar.date_parts()).select(
         *KEYS, "day_of_week", "month", "day_of_month")
 
 
 @query("d03_weekend_flags", DAILY_SQL + f"""
 SELECT series, ts, {', '.join(f'{CALENDAR_SQL[n]} AS {n}' for n in ('is_weekend', 'is_weekday'))} FROM daily""")
 def d03(spark, folder):
-    return daily_orders(spark, folder).withColumns(calendar.weekend_flags(F.col("date"))).select(
+    return daily_orders(spark, folder).withColumns(calendar.weekend_flags()).select(
         *KEYS, "is_weekend", "is_weekday")
 
 
@@ -59,31 +59,30 @@ _CYCLES = ("hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_
 
 @query("d04_cyclical", _row_local_sql(_part(CALENDAR_SQL, *_CYCLES)))
 def d04(spark, folder):
-    return _row_local(spark, folder, calendar.calendar_features(F.col("date"), F.col("hour")), _CYCLES)
+    return _row_local(spark, folder, calendar.cycles(), _CYCLES)
 
 
 @query("d04_cyclical_month", DAILY_SQL + f"""
 SELECT series, ts, {', '.join(s6(CALENDAR_SQL[n], n) for n in _CYCLES[2:])} FROM daily""")
 def d04_month(spark, folder):
-    date = F.col("date")
-    cycles = calendar.cyclical(F.weekday(date), 7, "day_of_week") | calendar.cyclical(F.month(date), 12, "month")
+    cycles = calendar.cycles(hour=None)
     return daily_orders(spark, folder).withColumns(cycles).select(*KEYS, *shown(cycles))
 
 
 @query("d05_rush_hours", _row_local_sql(_part(CALENDAR_SQL, "is_morning_rush", "is_evening_rush", "is_rush_hour")))
 def d05(spark, folder):
-    return _row_local(spark, folder, calendar.rush_hour_flags(F.col("hour")))
+    return _row_local(spark, folder, calendar.rush_hour_flags())
 
 
 @query("d06_part_of_day", _row_local_sql(_part(
     CALENDAR_SQL, *[f"time_of_day_{p}" for p in ("night", "morning", "afternoon", "evening")])))
 def d06(spark, folder):
-    return _row_local(spark, folder, calendar.part_of_day_flags(F.col("hour")))
+    return _row_local(spark, folder, calendar.part_of_day_flags())
 
 
 @query("d07_work_hour", _row_local_sql(_part(CALENDAR_SQL, "is_work_hour")))
 def d07(spark, folder):
-    return _row_local(spark, folder, calendar.work_hour_flag(F.col("date"), F.col("hour")))
+    return _row_local(spark, folder, calendar.work_hour_flag())
 
 
 @query("d08_date_range", hourly_sql() + f"""
@@ -96,33 +95,32 @@ def d08(spark, folder):
 @query("e01_temperature_interactions", _row_local_sql(_part(
     INTERACTION_SQL, "temp_x_hour", "temp_x_is_rush_hour", "temp_squared")))
 def e01(spark, folder):
-    return _row_local(spark, folder, weather.temperature_interactions(F.col("temperature"), F.col("hour")))
+    return _row_local(spark, folder, weather.temperature_interactions())
 
 
 @query("e02_comfort", _row_local_sql(_part(INTERACTION_SQL, "is_comfortable_weather")))
 def e02(spark, folder):
-    return _row_local(spark, folder, weather.comfort_flag(F.col("temperature"), F.col("humidity")))
+    return _row_local(spark, folder, weather.comfort_flag())
 
 
 @query("e03_precipitation", _row_local_sql(_part(INTERACTION_SQL, "has_rain", "has_snow", "has_precipitation")))
 def e03(spark, folder):
-    return _row_local(spark, folder, weather.precipitation_flags(F.col("rainfall"), F.col("snowfall")))
+    return _row_local(spark, folder, weather.precipitation_flags())
 
 
 @query("e04_bad_weather", _row_local_sql(_part(INTERACTION_SQL, "low_visibility", "bad_weather")))
 def e04(spark, folder):
-    return _row_local(spark, folder, weather.bad_weather_flags(
-        F.col("rainfall"), F.col("snowfall"), F.col("visibility")))
+    return _row_local(spark, folder, weather.bad_weather_flags())
 
 
 @query("e05_wind_chill", _row_local_sql(_part(INTERACTION_SQL, "wind_chill")))
 def e05(spark, folder):
-    return _row_local(spark, folder, weather.wind_chill(F.col("temperature"), F.col("wind_speed")))
+    return _row_local(spark, folder, weather.wind_chill())
 
 
 @query("e06_apparent_temperature", _row_local_sql(_part(INTERACTION_SQL, "apparent_temp")))
 def e06(spark, folder):
-    return _row_local(spark, folder, weather.apparent_temperature(F.col("temperature"), F.col("humidity")))
+    return _row_local(spark, folder, weather.apparent_temperature())
 
 
 _CHANGES = ("temp_change_1h", "humidity_change_1h", "wind_speed_change_1h")
@@ -137,7 +135,7 @@ def e07(spark, folder):
 SELECT series, ts, CAST(holiday = 'Holiday' AS INTEGER) AS is_holiday,
        CAST(functioning = 'Yes' AS INTEGER) AS is_functioning FROM hourly""")
 def e08(spark, folder):
-    return _row_local(spark, folder, encode.binary_encodes(F.col("holiday"), F.col("functioning")))
+    return _row_local(spark, folder, encode.binary_encodes())
 
 
 @query("e09_one_hot", hourly_sql() + """
@@ -156,7 +154,7 @@ SELECT series, ts,
        functioning, CAST(functioning = 'Yes' AS INTEGER) AS functioning_Yes
 FROM hourly""")
 def e10(spark, folder):
-    raw = hourly_events(spark, folder).withColumn("functioning_Yes", calendar.flag(F.col("functioning") == "Yes"))
+    raw = hourly_events(spark, folder).withColumn("functioning_Yes", calendar.flag("functioning = 'Yes'"))
     coded = encode.factor_codes(raw, ["season", "holiday", "functioning"])
     return coded.select(*KEYS, "season", "holiday", "functioning", "functioning_Yes")
 
@@ -168,12 +166,13 @@ def whole(spark, folder):
 
 
 @query("feature_table_by_type", hourly_sql("event_type") + features_sql() + f"""
-SELECT series, ts, target, {shown_sql(FEATURES)} FROM feat""")
+SELECT series, ts, target, {shown_sql(FEATURES, 9)} FROM feat""")
 def whole_by_type(spark, folder):
+    # busy cells have means that end in a 5 at the seventh digit, hence nine digits;
     # few long series: small blocks, so that each series is many window tasks
     timeline = HOURLY.at(block=240)
     raw = hourly_events(spark, folder, "event_type")
-    return feature_table(raw, timeline, SEASONS).select(*KEYS, "target", *shown(FEATURES))
+    return feature_table(raw, timeline, SEASONS).select(*KEYS, "target", *shown(FEATURES, 9))
 
 
 @query("model_table", hourly_sql() + features_sql() + f"""

@@ -189,7 +189,7 @@ FROM hourly""")
 def j01(spark, folder):
     raw = hourly_events(spark, folder)
     left = over_past(raw, HOURLY, 24, rolling.demand_lags).select(*KEYS, "demand_lag_1h", "demand_lag_24h")
-    right = raw.withColumns(calendar_features(F.col("date"), F.col("hour"))).select(
+    right = raw.withColumns(calendar_features()).select(
         *KEYS, "day_of_week", "is_rush_hour")
     return left.join(right, KEYS)
 

@@ -35,7 +35,7 @@ def read_raw_csv(spark: SparkSession, path: str, extra: dict[str, str] | None =
     types = [raw_type(o) if n in RAW_HEADER else (extra or {}).get(n, "string") for n, o in zip(names, ours)]
     schema = ", ".join(f"`{o}` {t}" for o, t in zip(ours, types))
     raw = spark.read.options(header=True, encoding=encoding).schema(schema).csv(path)
-    return raw.withColumn("date", parse_date(F.col("date"))) if "date" in ours else raw
+    return raw.withColumn("date", parse_date("date")) if "date" in ours else raw
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: str, date: str | None = None) -> DataFrame:
