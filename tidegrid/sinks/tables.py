@@ -65,15 +65,14 @@ def long_predictions(df: DataFrame, timeline: Timeline, actual: str, predicted:
 def wide_predictions(df: DataFrame, timeline: Timeline, actual: str, predicted: str, split: str = "split") -> DataFrame:
     """Train and test side by side per series, row for row; the shorter side is NULL."""
     numbered = number_in_series(df, timeline, [split], "row_number")
-    sides = []
+    values = []
     for role in ("train", "test"):
-        sides.append(numbered.where(F.col(split) == role).select(
-            *timeline.series, "row_number",
-            F.col(actual).alias(f"actual_{role}"),
-            F.col(predicted).alias(f"predicted_{role}"),
-            (F.col(actual) - F.col(predicted)).alias(f"residuals_{role}"),
-        ))
-    return sides[0].join(sides[1], [*timeline.series, "row_number"], "full_outer")
+        for name, value in (
+            ("actual", F.col(actual)), ("predicted", F.col(predicted)), ("residuals", F.col(actual) - F.col(predicted)),
+        ):
+            values.append(F.max(F.when(F.col(split) == role, value)).alias(f"{name}_{role}"))
+    # a row number occurs once per side, so an aggregate pairs the sides in one pass
+    return numbered.groupBy(*timeline.series, "row_number").agg(*values)
 
 
 def write_scaler(stats: DataFrame, path: str) -> str:
