@@ -148,8 +148,8 @@ def test_lookback_equals_brute_force_and_keeps_nulls(spark):
     data, df = frame(spark, (60, 5), seed=3)
     df = df.withColumn("split", F.when(F.col("ts") < "2024-02-29", "train").otherwise("test"))
     length = 8
-    got = lookback.lookback(df, HOURS.at(block=6), ["temperature", "demand"], length).toPandas()
-    points = lookback.point_features(df, HOURS.at(block=6), ["temperature", "demand"], length).toPandas()
+    got = lookback.lookback(df, HOURS.at(block=6), ["temperature", "demand"], length).collect()
+    points = lookback.point_features(df, HOURS.at(block=6), ["temperature", "demand"], length).collect()
     data = data.assign(split=np.where(data["ts"] < "2024-02-29", "train", "test"))
     want = {}
     for (series, split), part in data.groupby(["series", "split"]):
@@ -159,9 +159,9 @@ def test_lookback_equals_brute_force_and_keeps_nulls(spark):
             want[series, part["ts"][i]] = [
                 [None if np.isnan(t) else t, float(d)] for t, d in zip(rows["temperature"], rows["demand"])]
     assert len(got) == len(want) == len(points)
-    for r in got.itertuples():
+    for r in got:
         assert [list(x) for x in r.sequence] == want[r.series, r.ts]
-    for r in points.itertuples():
+    for r in points:
         assert [r.point["temperature"], float(r.point["demand"])] == want[r.series, r.ts][-1]
 
 
