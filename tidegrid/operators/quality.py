@@ -101,16 +101,19 @@ def drop_infinite(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.where(" AND ".join(tests)) if tests else df
 
 
-def split_totals(df: DataFrame, by: Sequence[str] = ("split",), columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing and infinite values over all columns, per split."""
-    wanted = list(columns) if columns else [c for c in df.columns if c not in by]
+def value_totals(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Aggregates ``missing`` and ``infinite``: values of that kind over all columns."""
     missing, infinite = F.lit(0), F.lit(0)
-    for c in wanted:
+    for c in columns:
         missing = missing + is_missing(df, c).cast("int")
         infinite = infinite + is_infinite(df, c).cast("int")
-    return df.groupBy(*by).agg(
-        F.sum(missing.cast("long")).alias("missing"), F.sum(infinite.cast("long")).alias("infinite")
-    )
+    return [F.sum(missing.cast("long")).alias("missing"), F.sum(infinite.cast("long")).alias("infinite")]
+
+
+def split_totals(df: DataFrame, by: Sequence[str] = ("split",), columns: Sequence[str] | None = None) -> DataFrame:
+    """Missing and infinite values over all columns, per split."""
+    wanted = list(columns) if columns else [c for c in df.columns if c not in by]
+    return df.groupBy(*by).agg(*value_totals(df, wanted))
 
 
 def split_consistency(train: DataFrame, test: DataFrame) -> DataFrame:
