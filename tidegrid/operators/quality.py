@@ -22,26 +22,23 @@ def _fractional(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if isinstance(f.dataType, _FRACTIONS)}
 
 
-def is_missing(df: DataFrame, column: str) -> Column:
-    """NULL, or NaN where the type has one."""
-    missing = F.col(column).isNull()
-    return missing | F.isnan(column) if column in _fractional(df) else missing
+def is_missing(df: DataFrame, column: str) -> str:
+    """SQL: NULL, or NaN where the type has one."""
+    missing = f"`{column}` IS NULL"
+    return f"({missing} OR isnan(`{column}`))" if column in _fractional(df) else f"({missing})"
 
 
-def is_infinite(df: DataFrame, column: str) -> Column:
-    if column not in _fractional(df):
-        return F.lit(False)
-    return F.coalesce(F.abs(F.col(column)) == INF, F.lit(False))
+def is_infinite(df: DataFrame, column: str) -> str:
+    """SQL: infinite; false for NULL and for types without infinity."""
+    return f"coalesce(abs(`{column}`) = DOUBLE('infinity'), false)" if column in _fractional(df) else "false"
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], by: Sequence[str], count, name: str) -> DataFrame:
     """Count per column in one pass, then one row per column."""
-    sums = [F.count_if(count(df, c)).alias(f"_c{i}") for i, c in enumerate(columns)]
+    sums = [F.expr(f"count_if({count(df, c)}) AS _c{i}") for i, c in enumerate(columns)]
     wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_rows"), *sums)
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias(name)) for i, c in enumerate(columns)
-    ])).alias("_row")
-    return wide.select(*by, "total_rows", rows).select(*by, "total_rows", "_row.*")
+    pairs = ", ".join(f"'{c}', _c{i}" for i, c in enumerate(columns))
+    return wide.select(*by, "total_rows", F.expr(f"stack({len(columns)}, {pairs}) AS (column_name, {name})"))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -74,10 +71,8 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def incomplete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """How many rows ``drop_incomplete`` drops."""
-    any_missing = F.lit(False)
-    for c in columns or df.columns:
-        any_missing = any_missing | is_missing(df, c)
-    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(any_missing).alias("dropped_rows"))
+    any_missing = " OR ".join(is_missing(df, c) for c in columns or df.columns)
+    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), F.expr(f"count_if({any_missing}) AS dropped_rows"))
     kept = F.col("total_rows") - F.col("dropped_rows")
     return counts.select(
         "total_rows", "dropped_rows", kept.alias("kept_rows"),
@@ -87,7 +82,7 @@ def incomplete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def infinite_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     wanted = [c for c in (columns or numeric_columns(df)) if c in _fractional(df)]
-    return df.withColumns({c: F.when(~is_infinite(df, c), F.col(c)) for c in wanted})
+    return df.withColumns({c: F.expr(f"IF({is_infinite(df, c)}, NULL, `{c}`)") for c in wanted})
 
 
 def drop_infinite(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -103,11 +98,10 @@ def drop_infinite(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def value_totals(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     """Aggregates ``missing`` and ``infinite``: values of that kind over all columns."""
-    missing, infinite = F.lit(0), F.lit(0)
-    for c in columns:
-        missing = missing + is_missing(df, c).cast("int")
-        infinite = infinite + is_infinite(df, c).cast("int")
-    return [F.sum(missing.cast("long")).alias("missing"), F.sum(infinite.cast("long")).alias("infinite")]
+    def total(test) -> str:
+        return " + ".join(f"CAST({test(df, c)} AS BIGINT)" for c in columns)
+
+    return [F.expr(f"sum({total(is_missing)}) AS missing"), F.expr(f"sum({total(is_infinite)}) AS infinite")]
 
 
 def split_totals(df: DataFrame, by: Sequence[str] = ("split",), columns: Sequence[str] | None = None) -> DataFrame:
@@ -120,7 +114,7 @@ def split_consistency(train: DataFrame, test: DataFrame) -> DataFrame:
     """Per column: present on each side, and values on each side."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        present = _per_column(df, df.columns, (), lambda d, c: ~is_missing(d, c), f"{name}_values")
+        present = _per_column(df, df.columns, (), lambda d, c: f"NOT {is_missing(d, c)}", f"{name}_values")
         return present.select(F.col("column_name").alias(f"{name}_column"), f"{name}_values")
 
     pairs = side(train, "train").join(
