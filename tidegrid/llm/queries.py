@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, line_dedup, token_files, url_rules
+from tidegrid.llm import bpe, chat, line_dedup, simhash, token_files, url_rules
 from tidegrid.llm.common import table
 from tidegrid.session import scratch_path
 
@@ -171,3 +171,8 @@ FROM judged GROUP BY doc_id
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, folder, "documents"), scratch_path(spark, "lines"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
