@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, line_dedup, simhash, token_files, url_rules
+from tidegrid.llm import bpe, chat, language_id, line_dedup, simhash, token_files, url_rules
 from tidegrid.llm.common import table
 from tidegrid.session import scratch_path
 
@@ -176,3 +176,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, max_bits=2)
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
