@@ -53,6 +53,28 @@ def encoded(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x if x is not None else b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+class Recent(dict):
+    """What ``find`` gives, remembered for the last ``limit`` to twice ``limit`` different keys.
+
+    Speed only hangs on what is remembered. Keys longer than ``longest`` are found each time.
+    """
+
+    def __init__(self, find: Callable[[str], bytes], limit: int, longest: int = 64):
+        super().__init__()
+        self.find, self.limit, self.longest, self.older = find, limit, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and the length of each row."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

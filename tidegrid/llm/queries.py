@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, language_id, line_dedup, simhash, token_files, url_rules
+from tidegrid.llm import bpe, chat, language_id, line_dedup, simhash, substring_dedup, token_files, url_rules
 from tidegrid.llm.common import table
 from tidegrid.session import scratch_path
 
@@ -184,3 +184,30 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM words WHERE len(w) >= 50
+), hashed AS (
+  SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 49), ' ')) AS h FROM starts
+), least AS (
+  SELECT h, min(doc_id) AS first FROM hashed GROUP BY h HAVING min(doc_id) <> max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM hashed JOIN least USING (h) WHERE first < doc_id
+), each_word AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM each_word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op7_substring_dedup", OP7_SQL)
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, folder, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
