@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, language_id, line_dedup, simhash, substring_dedup, token_files, url_rules
+from tidegrid.llm import bpe, chat, decontamination, language_id, line_dedup, simhash, substring_dedup, token_files, url_rules
 from tidegrid.llm.common import table
 from tidegrid.session import scratch_path
 
@@ -211,3 +211,8 @@ FROM words LEFT JOIN kept USING (doc_id)
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.dedup_substrings(table(spark, folder, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
