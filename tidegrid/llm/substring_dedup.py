@@ -16,7 +16,8 @@ a window long at least) are duplicates; the rest are literals.
 
 Comparisons are by 64-bit hashes within one anchor, for single windows by 128 bits.
 An anchor that many documents share is pre-aggregated before the shuffle, and joins
-on such keys are salted. Texts are shuffled once, by id.
+on such keys are between plain exchanges, of which adaptive execution splits large
+partitions. Texts are shuffled once, packed, by id.
 
 A null or empty text has no words. A null id is the lowest id. Rows of one id are
 parsed each for itself, and only documents with smaller ids count as references.
@@ -27,7 +28,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Recent, encoded, id_out, ids_and_texts, map_texts
@@ -36,7 +38,6 @@ from tidegrid.session import write_and_read
 #: Longest run of windows in one block (texts that repeat themselves have long runs of one anchor).
 MAX_RUN = 64
 CACHED_WORDS = 200_000
-SALTS = 16
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _KEY_BITS = 24
 
@@ -147,17 +148,32 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     })
 
 
-def _salted(small: DataFrame) -> DataFrame:
-    """Each row once for every salt, to meet rows that are salted by their id."""
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def pack(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``key`` and the compressed ``text``, which halves what a shuffle moves."""
+
+    def build():
+        packer = zstandard.ZstdCompressor(level=3)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = encoded(batch, "text")
+            keys = [xxhash.xxh64_intdigest(t, 42) & ((1 << _KEY_BITS) - 1) for t in texts]
+            packed = [packer.compress(t) for t in texts]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "text"]
+            )
+
+        return step
+
+    return map_texts(rows, build, "doc_id long, key long, text binary")
 
 
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+def unpacked_texts(batch: pa.RecordBatch) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in batch.column("text").to_pylist()]
 
 
 def _requested_windows(rows: DataFrame, window: int) -> DataFrame:
-    """``h1, h2, doc_id, key, at`` of the windows of the blocks listed in each row (doc_id, key, text, wanted)."""
+    """``h1, h2, doc_id, place`` of the windows of the blocks that each row (doc_id, key, text) lists."""
 
     def build():
         words = Words()
@@ -165,7 +181,7 @@ def _requested_windows(rows: DataFrame, window: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out, counts = [], []
             starts, lengths = batch.column("starts"), batch.column("lengths")
-            for text, start, n in zip(encoded(batch, "text"), starts, lengths):
+            for text, start, n in zip(unpacked_texts(batch), starts, lengths):
                 hashes = words.hashes(text.split())
                 start, n = start.values.to_numpy(), n.values.to_numpy()
                 at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -176,11 +192,12 @@ def _requested_windows(rows: DataFrame, window: int) -> DataFrame:
                 counts.append(len(at))
             h1, h2, at = (np.concatenate(x) for x in zip(*out))
             ids, keys = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc_id", "key"))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, keys, at)], ["h1", "h2", "doc_id", "key", "at"])
+            place = (at << _KEY_BITS) | keys
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, place)], ["h1", "h2", "doc_id", "place"])
 
         return step
 
-    return map_texts(rows, build, "h1 long, h2 long, doc_id long, key long, at long")
+    return map_texts(rows, build, "h1 long, h2 long, doc_id long, place long")
 
 
 def dedup_substrings(
@@ -188,20 +205,22 @@ def dedup_substrings(
 ) -> DataFrame:
     """``doc_id``, ``text`` (kept words joined by a space), ``n_words``, ``n_removed`` and ``factors`` of each row.
 
-    A factor has ``start`` and ``length`` in words and its reference: ``ref_doc`` and ``ref_start``.
+    A factor has ``start`` and ``length`` in words and its reference: ``ref_doc`` and ``ref_start``
+    (-1 if the factor has no whole block, as the place of single windows is not kept).
     """
     if not 1 <= anchor <= window:
         raise ValueError("an anchor is a part of a window")
     rows = ids_and_texts(docs, id_col, text_col)
     index = write_and_read(blocks(rows, window, anchor), "blocks")
     # anchors in two documents at least; the others are of no further interest
-    shared = index.groupBy("anchor").agg(
-        F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), (F.min("content") != F.max("content")).alias("mixed")
-    ).where("_low != _high").select("anchor", "mixed")
+    shared = index.groupBy("anchor").agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    shared = write_and_read(shared.where("_low != _high").select("anchor"), "shared-anchors")
     parts = write_and_read(index.join(shared, "anchor"), "shared-blocks")
 
-    first = parts.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("ref"))
-    held = _unpacked(parts.select("*", _salt())).join(_salted(first), ["anchor", "content", "salt"])
+    mixed = parts.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("mixed"))
+    first = parts.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("ref")).join(mixed, "anchor")
+    first = write_and_read(first, "first-blocks")
+    held = _unpacked(parts).join(first, ["anchor", "content"])
     held = write_and_read(held.select(
         "doc_id", "key", "start", "n", "mixed", F.col("ref.doc_id").alias("ref_doc"), F.shiftright("ref.place", 32).alias("ref_start")
     ), "held-blocks")
@@ -209,16 +228,18 @@ def dedup_substrings(
     wanted = held.where("ref_doc = doc_id AND mixed").groupBy("doc_id", "key").agg(
         F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths")
     )
-    # one exchange of the texts, used by both joins
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << _KEY_BITS) - 1).alias("key")
-    texts = rows.select("doc_id", key, F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id", "key")
+    # one exchange of the packed texts, used by all joins below
+    texts = pack(rows).repartition("doc_id", "key")
     windows = _requested_windows(texts.join(wanted, ["doc_id", "key"]), window)
-    windows = write_and_read(windows, "boundary-windows")
-    least = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("_high"))
-    least = least.where("ref.doc_id != _high").select("h1", "h2", "ref")
-    extended = windows.select("*", _salt()).join(_salted(least), ["h1", "h2", "salt"]).where("ref.doc_id < doc_id").select(
-        "doc_id", "key", F.col("at").alias("start"), F.lit(1).cast("long").alias("n"),
-        F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_start"),
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("_high"))
+    # by expressions of the keys the few rows left get an exchange of their own: so both
+    # sides of the join are plain exchanges, whose large partitions adaptive execution splits
+    flipped = [F.bitwise_not(h).alias(g) for h, g in (("h1", "g1"), ("h2", "g2"))]
+    least = least.where("ref_doc != _high").select(*flipped, "ref_doc")
+    extended = windows.withColumns({"g1": F.bitwise_not("h1"), "g2": F.bitwise_not("h2")}).join(least, ["g1", "g2"])
+    extended = extended.where("ref_doc < doc_id").select(
+        "doc_id", F.col("place").bitwiseAND((1 << _KEY_BITS) - 1).alias("key"), F.shiftright("place", _KEY_BITS).alias("start"),
+        F.lit(1).cast("long").alias("n"), "ref_doc", F.lit(-1).cast("long").alias("ref_start"),
     )
     spans = copied.union(extended).groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start"))).alias("spans")
@@ -235,7 +256,9 @@ def _factors(spans: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
     out: list[list[int]] = []
     for start, n, ref, at in spans.tolist():
         last = out[-1] if out else None
-        if last and ref == last[2] and start - last[0] == at - last[3] and start <= last[0] + last[1] - window + 1:
+        follows = last and ref == last[2] and start <= last[0] + last[1] - window + 1
+        if follows and (at < 0 or last[3] < 0 or start - last[0] == at - last[3]):
+            last[3] = at - (start - last[0]) if last[3] < 0 <= at else last[3]
             last[1] = max(last[1], start + n + window - 1 - last[0])
         else:
             out.append([start, n + window - 1, ref, at])
@@ -246,7 +269,7 @@ def _parse(rows: DataFrame, window: int) -> DataFrame:
     def build():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             kept, n_words, n_removed, factors = [], [], [], []
-            for text, spans in zip(encoded(batch, "text"), batch.column("spans")):
+            for text, spans in zip(unpacked_texts(batch), batch.column("spans")):
                 words = text.split()
                 n_words.append(len(words))
                 if not spans.is_valid:
