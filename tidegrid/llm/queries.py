@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, decontamination, language_id, line_dedup, simhash, substring_dedup, token_files, url_rules
+from tidegrid.llm import bpe, chat, decontamination, language_id, line_dedup, quality_rules, simhash, substring_dedup, token_files, url_rules
 from tidegrid.llm.common import table
 from tidegrid.session import scratch_path
 
@@ -216,3 +216,8 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_decontamination")
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents")).drop("distance")
