@@ -1,15 +1,51 @@
-"""Cleaning a corpus for training: stages over ``documents``, each written and read again."""
+"""Cleaning a corpus for training: stages over ``documents``, each written and read again.
+
+Every stage but the last returns the columns of ``documents`` (doc_id, text, lang,
+source, n_chars) of the documents it keeps; columns beside these are not carried.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe
-from tidegrid.session import write_and_read
+from tidegrid.llm import bpe, decontamination, language_id, line_dedup, simhash
+from tidegrid.session import scratch_path, write_and_read
 
 VOCABULARY = "byte_bpe_50k.json"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known go on; texts without a letter and uncertain ones go."""
+    docs = docs.select(*COLUMNS)
+    return language_id.accepted(docs, language_id.fit(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines stay in their first document only; ``n_chars`` is counted anew, no document goes."""
+    kept = line_dedup.dedup_lines(docs, scratch_path(spark, "pipeline-index"), carry=("lang", "source"))
+    return kept.select(
+        "doc_id", "text", "carried.lang", "carried.source", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; of several rows of it the first text."""
+    groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    return rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = decontamination.contaminations(docs, benchmark)
+    hits = write_and_read(hits.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-hits")
+    return docs.select(*COLUMNS).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +58,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
 
-#: SQL can express neither the trained classifier nor BPE.
+#: SQL can express neither the trained classifier nor BPE; the tests hold a run against brute force.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a null id inside an operator: such rows are one document, before all others.
 LOWEST = -(1 << 63)
@@ -31,7 +32,9 @@ def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(id_in(id_col), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def map_texts(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
+def map_texts(
+    df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType
+) -> DataFrame:
     """``mapInArrow`` with state that ``build`` makes once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,6 +220,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return map_texts(rows, build, "doc_id long, lang_pred string, score double").select(id_out(), "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of texts that have a letter and a language with ``min_score`` at least.
+
+    Without a model (no labelled rows) only texts without a letter go.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts = encoded(batch, text_col)
+            keep = np.array([bool(LETTER.search(t.decode())) for t in texts], dtype=bool)
+            known = np.flatnonzero(keep) if model else []
+            for at in range(0, len(known), BLOCK):
+                some = known[at : at + BLOCK]
+                keep[some] = _means(model, [texts[i] for i in some]).max(1) >= min_score
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _means(model: Model, texts: list[bytes]) -> np.ndarray:
     """Mean label probabilities of each text."""
     length = model.settings.window

@@ -29,7 +29,7 @@ repeated, and each row loses the lines that its document loses.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegrid.llm.common import id_in, id_out, ids_and_texts, map_texts, strings
 from tidegrid.llm.cuckoo import CuckooFilter
@@ -285,16 +286,23 @@ class LineIndex:
         self._write(gen, deleted=ids)
         self._store(gen, both)
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``doc_id``, ``text`` without repeated lines, ``n_lines`` and ``n_dropped`` of indexed documents."""
-        rows = ids_and_texts(docs, id_col, text_col)
-        lines = self._sharded(postings(rows, self.min_chars))
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+        """``doc_id``, ``text`` without repeated lines, ``n_lines`` and ``n_dropped`` of indexed documents.
+
+        Columns named by ``carry`` come along in the struct ``carried``.
+        """
+        rows = docs.select(
+            id_in(id_col), F.col(f"`{text_col}`").cast("string").alias("text"),
+            F.struct(*[F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")]).alias("carried"),
+        )
+        lines = self._sharded(postings(rows.select("doc_id", "text"), self.min_chars))
         hits = self._maybe(lines, "repeated", ["k1", "k2", "doc_id"], SALTS)
         repeated = self.counts().where("first != last").select(*KEY, "first")
         drops = hits.join(repeated, KEY).where("doc_id != first").groupBy("doc_id").agg(
             F.collect_list("k1").alias("k1s"), F.collect_list("k2").alias("k2s")
         )
-        return self._apply(rows.join(drops, "doc_id", "left")).select(id_out(), "text", "n_lines", "n_dropped")
+        kept = self._apply(rows.join(drops, "doc_id", "left"))
+        return kept.select(id_out(), "text", "n_lines", "n_dropped", *["carried"] * bool(carry))
 
     def _apply(self, rows: DataFrame) -> DataFrame:
         min_chars = self.min_chars
@@ -316,19 +324,23 @@ class LineIndex:
                     kept.append(text)
                     dropped.append(dropped_here)
                 return pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())],
-                    ["doc_id", "text", "n_lines", "n_dropped"],
+                    [
+                        batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n, pa.int64()),
+                        pa.array(dropped, pa.int64()), batch.column("carried"),
+                    ],
+                    ["doc_id", "text", "n_lines", "n_dropped", "carried"],
                 )
 
             return step
 
-        return map_texts(rows, build, "doc_id long, text string, n_lines long, n_dropped long")
+        schema = StructType.fromDDL("doc_id long, text string, n_lines long, n_dropped long").add(rows.schema["carried"])
+        return map_texts(rows, build, schema)
 
 
-def dedup_lines(docs: DataFrame, path: str, min_chars: int = 10, batches: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, path: str, min_chars: int = 10, batches: int = 2, carry: Sequence[str] = ()) -> DataFrame:
     """Insert all documents into a new index, in batches as they would come in, and dedup them."""
     spark = docs.sparkSession
     index = LineIndex.create(spark, path, docs.count(), min_chars)
     for number in range(batches):
         index.insert(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == number))
-    return index.dedup(docs)
+    return index.dedup(docs, carry=carry)
