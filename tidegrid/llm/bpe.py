@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import encoded, id_out, ids_and_texts, map_texts, strings
+from tidegrid.llm.common import Recent, encoded, id_out, ids_and_texts, map_texts, strings
 
 SHORT = 128
-#: Cached words of one Python worker; a full cache is emptied, which costs time only.
-CACHED_WORDS = 400_000
-CACHED_LENGTH = 64
+#: Words and pieces that a Python worker remembers, and as many from before; of time only.
+CACHED_WORDS = 150_000
+CACHED_PIECES = 200_000
 NO_RANK = 1 << 60
 
 # Fixed values of byte-level BPE: the piece pattern and the printable stand-ins of bytes.
@@ -123,29 +123,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Encoder(dict):
-    """Packed ids of words, found once and remembered."""
+class Encoder:
+    """Packed ids of texts; words and their pieces are remembered, within bounds."""
 
     def __init__(self, vocab: Vocabulary):
-        super().__init__()
         self.vocab = vocab
+        self.words = Recent(self._word, CACHED_WORDS)
+        self.pieces = Recent(self._piece, CACHED_PIECES)
 
-    def __missing__(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.vocab.piece.findall(word):
-            ids += self.vocab.merge(piece.encode())
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= CACHED_LENGTH:
-            self[word] = packed
-        return packed
+    def _piece(self, piece: str) -> bytes:
+        return np.array(self.vocab.merge(piece.encode()), dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.vocab.piece.findall(word)))
 
     def plain(self, text: str) -> bytes:
-        words = WORD.findall(text) if not OTHER_BLANK.search(text) else self.vocab.piece.findall(text)
-        return b"".join(map(self.__getitem__, words))
+        if OTHER_BLANK.search(text):
+            return self._word(text)
+        return b"".join(map(self.words.__getitem__, WORD.findall(text)))
 
     def encode(self, text: str) -> bytes:
-        if len(self) > CACHED_WORDS:
-            self.clear()
         if not self.vocab.special or not self.vocab.special.search(text):
             return self.plain(text)
         added = self.vocab.added
@@ -153,14 +150,20 @@ class Encoder(dict):
         return b"".join(np.array([added[p]], dtype="<u4").tobytes() if p in added else self.plain(p) for p in parts)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker, as what it remembers holds for all."""
+    return Encoder(vocabulary(path))
+
+
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids``, the packed ids of each whole text. Row by row, no shuffle."""
 
     def build():
-        encoder = Encoder(vocabulary(vocabulary_path))
+        words = encoder(vocabulary_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [encoder.encode(text) for text in strings(batch, "text")]
+            packed = [words.encode(text) for text in strings(batch, "text")]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "ids"])
 
         return step
