@@ -16,7 +16,10 @@ first. Repeated rows are stored each, in an order of their own among equal ids.
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +27,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_out, ids_and_texts, lists, strings
+from tidegrid.llm.bpe import byte_characters
+from tidegrid.llm.common import Recent, id_out, ids_and_texts, lists, strings
 
-CACHED_WORDS = 300_000
-CACHED_LENGTH = 64
+#: Words and parts of words that a Python worker remembers, and as many from before; of time only.
+CACHED_WORDS = 250_000
+#: Punctuation that is cut off a word, and letters whose small form hangs on what is around them.
+MARKS = ".,!?;:%&*#$|()\"-"
+ODD_CASE = "\u03a3\u0130"
 #: Characters that Python counts as blanks and the tokenizer does not.
 SEPARATORS = tuple(map(chr, range(0x1C, 0x20)))
+#: Up to so many files their offsets (a row of two numbers each) are broadcast.
+BROADCAST_FILES = 500_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
 class WordIds:
-    """Ids of texts from the library, word by word, with a bounded cache.
+    """Packed ids of texts from the library, word by word; words are remembered, within bounds.
 
     The tokenizer drops blanks and never joins what they part, so the ids of a text
-    are those of its words in turn. A batch hands all its new words over at once.
+    are those of its words in turn. It also lowers case and never joins a letter to
+    punctuation, so a word of letters and the marks after it are remembered apart.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -47,27 +57,38 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        packed = []
-        for text in texts:
-            if any(s in text for s in SEPARATORS):
-                packed += self._encode([text])
-                continue
-            words = text.split()
-            new = [w for w in set(words) if w not in self.known]
-            found = dict(zip(new, self._encode(new), strict=True)) if new else {}
-            self.known.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_LENGTH)
-            table = self.known if all(len(w) <= CACHED_LENGTH for w in new) else self.known | found
-            packed.append(b"".join(map(table.__getitem__, words)))
-        return packed
+        self.words = Recent(self._word, CACHED_WORDS)
+        self.stems = Recent(self._stem, CACHED_WORDS)
+        self.marks = Recent(self._part, 10_000)
+        self.stand_ins = {b: c for c, b in byte_characters().items()}
+
+    def _part(self, part: str) -> bytes:
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _stem(self, stem: str) -> bytes:
+        """Of a lower-case word of letters: one piece, so only the library's BPE itself is asked."""
+        if not stem.isascii():
+            stem = unicodedata.normalize("NFC", stem)
+            stem = stem.encode().decode("latin-1").translate(self.stand_ins)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(stem)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha() or ODD_CASE[0] in stem or ODD_CASE[1] in stem:
+            return self._part(word)
+        ids = self.stems[stem.lower()]
+        return ids + self.marks[word[len(stem) :]] if len(stem) < len(word) else ids
+
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in SEPARATORS):
+            return self._part(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def word_ids(tokenizer_path: str) -> WordIds:
+    """One for all tasks of a Python worker, as what it remembers holds for all."""
+    return WordIds(tokenizer_path)
 
 
 def write_tokens(
@@ -85,12 +106,12 @@ def write_tokens(
     """Encode whole texts and write them in ascending ``doc_id``; a task holds one batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, at = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, part, at = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            packed = [ids + end for ids in words.encode(strings(batch, "text"))]
+            packed = [words.encode(text) + end for text in strings(batch, "text")]
             counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
@@ -125,4 +146,5 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
     start = (F.col("local_start") + F.col("_base")).alias("start")
-    return files.join(bases, "part").select(id_out(), start, "n_tokens", *["ids"] * ids)
+    small = F.broadcast(bases) if len(files.inputFiles()) <= BROADCAST_FILES else bases
+    return files.join(small, "part").select(id_out(), start, "n_tokens", *["ids"] * ids)
