@@ -100,7 +100,7 @@ class Tokens:
         lower = core.lower()
         numeral = NUMERAL.match(core)
         rest = core[numeral.end() :] if numeral else ""
-        if not core:
+        if not core or core == "\n":
             parts = 0
         elif numeral and (not rest or rest.lower() in UNITS) or lower in NUMBER_WORDS:
             kind = NUMBER
@@ -151,7 +151,7 @@ class Template:
             out = out * _BASE + self.hashes[k : k + n]
             out ^= out >> np.uint64(29)
         sums = np.r_[0, np.cumsum(self.kinds == LITERAL)]
-        at = np.flatnonzero(sums[width:] - sums[:-width] >= min(min_literal, width))
+        at = np.flatnonzero(sums[width:] - sums[:-width] >= min_literal)
         return at, out[at]
 
     def slots(self, at: int, width: int) -> list[str]:
