@@ -280,8 +280,8 @@ class LineIndex:
         old = self.counts().select(*KEY, (F.col("first") != F.col("last")).alias("_was")).join(touched, KEY, "left_semi")
         both = old.join(left, KEY, "left").select(
             *KEY, F.coalesce("refs", F.lit(0)).alias("refs"), "first", "last",
-            -F.col("refs").isNull().cast("int").alias("seen"),
-            -(F.col("_was") & F.coalesce(F.col("first") == F.col("last"), F.lit(True))).cast("int").alias("repeated"),
+            (-F.col("refs").isNull().cast("int")).alias("seen"),
+            (-(F.col("_was") & F.coalesce(F.col("first") == F.col("last"), F.lit(True))).cast("int")).alias("repeated"),
         )
         self._write(gen, deleted=ids)
         self._store(gen, both)
