@@ -192,3 +192,21 @@ def test_blocks_agree_with_a_plain_window(spark, folder):
     want = raw.select("series", "ts", F.lag("demand", 168).over(plain).alias("x"))
     got = over_past(raw, HOURLY.at(block=50), 168, lambda w: {"x": F.lag("demand", 168).over(w)}).select("series", "ts", "x")
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_blocks_never_change_results_of_series_with_gaps(spark):
+    data, df = frame(spark, (100, 30))
+    gone = "series = 0 AND hour(ts) < 20 AND day(ts) = 29"
+    df = df.where(f"NOT ({gone})").withColumn("split", F.when(F.col("demand") > 4, "train").otherwise("test"))
+    plain = Window.partitionBy("series").orderBy("ts")
+    want = df.select("series", "ts", F.lag("demand", 24).over(plain).alias("x"))
+    split = Window.partitionBy("series", "split").orderBy("ts")
+    windows = df.withColumn("n", F.row_number().over(split)).where("n > 12").select("series", "ts")
+    for block in (4096, 24, 10):
+        hours = HOURS.at(block=block)
+        got = over_past(df, hours, 24, lambda w: {"x": F.lag("demand", 24).over(w)})
+        assert got.columns == [*df.columns, "x"]
+        assert want.exceptAll(got.select("series", "ts", "x")).isEmpty() and got.count() == df.count()
+        for timeline in (hours, hours.at(complete=True)):
+            for found in (lookback.lookback(df, timeline, ["demand"], 12), lookback.point_features(df, timeline, ["demand"], 12)):
+                assert windows.exceptAll(found.select("series", "ts")).isEmpty() and found.count() == windows.count()

@@ -8,8 +8,9 @@ from tidegrid.operators.grid import fill_grid
 from tidegrid.timeline import Timeline
 
 DAY = 86400
-HOURLY = Timeline(series=("series",), time="ts", step=3600)
-DAILY = Timeline(series=("series",), time="ts", step=DAY)
+# the tables below have every cell of every series
+HOURLY = Timeline(series=("series",), time="ts", step=3600, complete=True)
+DAILY = Timeline(series=("series",), time="ts", step=DAY, complete=True)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

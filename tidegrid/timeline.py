@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 
 _OWN = "_own_block"
 _BLOCK = "_block"
+_POSITION = "_position"
 
 
 @dataclass(frozen=True)
 class Timeline:
     """Keys, time column and spacing of a set of series.
 
-    ``step`` is the spacing in seconds. Rows are taken to lie on a complete grid
-    (see ``operators.grid.fill_grid``), so the slot number derived from the time
-    is also the row number. For series with gaps set ``position`` to a dense row
-    number (``operators.numbering.number_in_series``): frames then count rows.
-    ``block`` is the number of slots one window task owns.
+    ``step`` is the spacing in seconds. Frames count rows. ``complete`` says that
+    no series has a gap (``operators.grid.fill_grid``), so that the slot number
+    derived from the time is also the row number; ``position`` names a dense row
+    number (``operators.numbering.number_in_series``). With neither, rows are
+    numbered where windows need it. ``block`` is the number of rows one window
+    task owns; it never changes a result.
     """
 
     series: tuple[str, ...]
@@ -34,6 +36,7 @@ class Timeline:
     step: int = 3600
     block: int = 4096
     position: str | None = None
+    complete: bool = False
 
     def __post_init__(self):
         if isinstance(self.series, str):
@@ -83,11 +86,16 @@ def over_past(
 
     ``build`` gets the window (partition and order set, no frame) and returns the
     new columns. All of them share one exchange, one sort and one window node.
-    ``within`` lists further partition columns, for example the split.
-    With ``within`` the slots of one group must still be consecutive.
+    ``within`` lists further partition columns, for example the split. A split
+    may take any rows, so they are numbered then even on a complete grid.
     """
     if reach < 0:
         raise ValueError("reach must not be negative")
+    if timeline.position is None and (within or not timeline.complete):
+        from tidegrid.operators.numbering import number_in_series
+
+        numbered = number_in_series(df, timeline, within, _POSITION)
+        return over_past(numbered, timeline.at(position=_POSITION), reach, build, within).drop(_POSITION)
     slot = timeline.slot()
     own = f"floor({slot} / {timeline.block})"
     last = f"floor(({slot} + {reach}) / {timeline.block})"
