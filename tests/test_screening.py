@@ -94,6 +94,18 @@ def test_correlations_equal_pandas(spark, method):
     assert correlation.drop_correlated(df, threshold=0.9)[1] == []
 
 
+@pytest.mark.parametrize("method", ["expressions", "gram"])
+def test_nan_and_infinity_are_left_out_of_correlations(spark, method):
+    random = np.random.default_rng(5)
+    data = pd.DataFrame(random.normal(0, 1, (300, 3)), columns=list("xyz"))
+    data.loc[7, "x"], data.loc[9, "y"] = np.nan, np.inf
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data.itertuples(index=False)], "x double, y double, z double")
+    want = data.replace([np.inf], np.nan).corr().abs()
+    for r in correlation.correlation_pairs(df, method=method).collect():
+        assert r.correlation == pytest.approx(want.loc[r.left, r.right], abs=1e-9)
+    assert correlation.drop_correlated(df, threshold=0.9, drop_first=["y"])[1] == []
+
+
 def test_scaler_uses_population_deviation_and_one_for_constants(spark):
     train = spark.createDataFrame([("s", 1.0, 7), ("s", 3.0, 7), ("t", 10.0, 7)], "g string, x double, k int")
     stats = {r.feature: (r.mean, r.scale) for r in scaling.fit_scaler(train.where("g = 's'"), ["x", "k"]).collect()}

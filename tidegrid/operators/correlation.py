@@ -7,15 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.operators.quality import numeric_columns
 
-# Above this many pairs one generated aggregate takes longer to compile than the
-# matrix products take to run.
-MAX_PAIR_EXPRESSIONS = 30
-
 _SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 _SUMS_SCHEMA = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
 
@@ -25,21 +21,26 @@ def correlation_with(df: DataFrame, columns: Sequence[str], target: str) -> Data
     return _by_expressions(df, [(c, target) for c in columns])
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "gram") -> DataFrame:
     """Rows ``(left, right, correlation)`` for each pair, left before right.
 
-    Rows where either side is NULL are left out of that pair only. A constant
-    column gives NULL.
+    Rows where either side is NULL, NaN or infinite are left out of that pair
+    only. A constant column gives NULL. ``gram`` adds up matrix products and fits
+    any number of columns, ``expressions`` is one aggregate for a few pairs.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     pairs = list(combinations(names, 2))
-    if method == "auto":
-        method = "expressions" if len(pairs) <= MAX_PAIR_EXPRESSIONS else "gram"
     if method == "expressions":
         return _by_expressions(df, pairs)
     if method == "gram":
         return _by_gram(df, names)
-    raise ValueError("method must be auto, expressions or gram")
+    raise ValueError("method must be expressions or gram")
+
+
+def _finite(name: str) -> Column:
+    """The column as a double, NULL where it is NaN or infinite."""
+    value = F.col(name).cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def _by_expressions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -47,8 +48,8 @@ def _by_expressions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         return df.sparkSession.createDataFrame([], "left string, right string, correlation double")
     sums, rows = [], []
     for i, (a, b) in enumerate(pairs):
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        x = F.when(_finite(b).isNotNull(), _finite(a))
+        y = F.when(_finite(a).isNotNull(), _finite(b))
         spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
         sums.append(F.abs(F.try_divide(F.covar_pop(x, y), spread)).alias(f"_r{i}"))
         rows.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_r{i}").alias("correlation")))
@@ -61,7 +62,7 @@ def _by_gram(df: DataFrame, names: list[str]) -> DataFrame:
     first, so that large levels do not swamp small spreads."""
     width = len(names)
     upper = np.triu_indices(width, k=1)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    numbers = df.select(*[_finite(c).alias(c) for c in names])
     mean = numbers.agg(F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in names])).scalar()
     centred = numbers.withColumn("_mean", mean).select(
         *[(F.col(c) - F.get("_mean", F.lit(i))).alias(f"_x{i}") for i, c in enumerate(names)]
