@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegrid.functions.hashing import arithmetic_hash, gaussian, key_hash
 from tidegrid.models import combine, trees, tuning
 from tidegrid.operators import augment, history, lookback, metrics, residuals
+from tidegrid.plans.features import model_table
 from tidegrid.sinks import reports, tables
 from tidegrid.sources import csv, results
 from tidegrid.timeline import Timeline
@@ -55,6 +56,10 @@ def test_gaps_verdicts_ranks_and_comparisons(spark):
     assert {r.model: r["rank"] for r in metrics.rank_models(gaps).collect()} == {"a": 1, "b": 2, "c": 3}
     better = metrics.improvement(gaps, "test_r2", F.lit(metrics.BASELINE_R2)).where("model = 'a'").collect()[0]
     assert better.points == pytest.approx(34.29) and better.target_reached == 1 and better.target_gap == 0
+    errors = spark.createDataFrame([("a", 90.0), ("b", 130.0)], "model string, RMSE double")
+    lower = metrics.improvement(errors, "RMSE", F.lit(120.0), target=100.0, lower_is_better=True).orderBy("model").collect()
+    assert [(r.relative_percent, r.target_reached, r.target_gap > 0) for r in lower] == [
+        (pytest.approx(25.0), 1, False), (pytest.approx(-25 / 3), 0, True)]
     both = metrics.compare_with(spark.createDataFrame([("a", 0.9, 150.0)], "model string, R2 double, RMSE double"),
                                 {"R2": 0.95, "RMSE": 139.64}).collect()
     assert {r.metric: round(r.difference, 6) for r in both} == {"R2": -0.05, "RMSE": 10.36}
@@ -144,6 +149,17 @@ def test_raw_csv_in_latin1_and_utf8(spark, tmp_path):
         assert second.demand is None and second.temperature is None and second.season is None
 
 
+def test_hourly_csv_goes_to_the_model_table(spark, tmp_path):
+    header = "Date,Rented Bike Count,Hour,Temperature(°C),Humidity(%),Wind speed (m/s),Visibility (10m)," \
+        "Dew point temperature(°C),Solar Radiation (MJ/m2),Rainfall(mm),Snowfall (cm),Seasons,Holiday,Functioning Day,station\n"
+    lines = [f"{d:02d}/12/2017,{d * h + 1},{h},{h - 5.0},40,1.5,2000,-17.6,0,0,0,Winter,No Holiday,Yes,s\n" for d in range(1, 15) for h in range(24)]
+    (tmp_path / "a.csv").write_bytes((header + "".join(lines)).encode("latin-1"))
+    raw = csv.read_hourly_csv(spark, str(tmp_path))
+    assert str(raw.agg(F.max("ts").alias("m")).collect()[0].m) == "2017-12-14 23:00:00"
+    rows = model_table(raw, Timeline("station"), "2017-12-12")
+    assert {r.split: r.n for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"train": 4 * 24, "test": 3 * 24}
+
+
 def test_split_csv_writes_booleans_and_original_headers(spark, tmp_path):
     df = spark.createDataFrame([("train", 1.5, 1), ("test", 2.5, 0)], "split string, temperature double, Season_Spring int")
     train, test = tables.write_split_csv(df, str(tmp_path / "out"))

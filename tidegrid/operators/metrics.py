@@ -121,14 +121,22 @@ def gap_verdict(gap: Column, bands: str = "four") -> Column:
     return F.when(gap.isNotNull(), verdict)
 
 
-def improvement(df: DataFrame, score: str, baseline: Column, target: float = TARGET_R2) -> DataFrame:
-    """Relative percent and points over a baseline; whether and by how much the target is missed."""
-    points = (F.col(score) - F.col("baseline")) * 100
+def improvement(
+    df: DataFrame, score: str, baseline: Column, target: float = TARGET_R2, lower_is_better: bool = False
+) -> DataFrame:
+    """Relative percent and points over a baseline; whether and by how much the target is missed.
+
+    ``lower_is_better`` is for errors: what a score lies below the baseline or the
+    target counts as better.
+    """
+    sign = -1.0 if lower_is_better else 1.0
+    points = (F.col(score) - F.col("baseline")) * (100 * sign)
+    missing = (F.lit(target) - F.col(score)) * sign
     return df.withColumn("baseline", baseline).withColumns({
         "relative_percent": F.try_divide(points, F.col("baseline")),
         "points": points,
-        "target_reached": (F.col(score) >= target).cast("int"),
-        "target_gap": F.greatest((F.lit(target) - F.col(score)) * 100, F.lit(0.0)),
+        "target_reached": (missing <= 0).cast("int"),
+        "target_gap": F.greatest(missing * 100, F.lit(0.0)),
     })
 
 

@@ -38,6 +38,12 @@ def read_raw_csv(spark: SparkSession, path: str, extra: dict[str, str] | None =
     return raw.withColumn("date", parse_date("date")) if "date" in ours else raw
 
 
+def read_hourly_csv(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
+    """The raw table with ``ts`` from date and hour, ready for ``plans.features.model_table``."""
+    time = "make_timestamp_ntz(year(date), month(date), day(date), CAST(hour AS INT), 0, 0)"
+    return read_raw_csv(spark, path, extra).withColumn("ts", F.expr(time))
+
+
 def read_typed_csv(spark: SparkSession, path: str, schema: str, date: str | None = None) -> DataFrame:
     """A CSV with a declared schema; ``date`` names a text column to cast to date."""
     df = spark.read.options(header=True).schema(schema).csv(path)
