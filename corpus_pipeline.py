@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids of what is left, and the digest of the text they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    tokens = bpe.decode(bpe.encode(docs, path), path)
+    tokens = bpe.encode_and_decode(docs, path)
     return tokens.select(
         "doc_id", bpe.token_count(), "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

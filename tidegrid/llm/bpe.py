@@ -27,8 +27,8 @@ from tidegrid.llm.common import Recent, encoded, id_out, ids_and_texts, map_text
 
 SHORT = 128
 #: Words and pieces that a Python worker remembers, and as many from before; of time only.
-CACHED_WORDS = 150_000
-CACHED_PIECES = 200_000
+CACHED_WORDS = 60_000
+CACHED_PIECES = 80_000
 NO_RANK = 1 << 60
 
 # Fixed values of byte-level BPE: the piece pattern and the printable stand-ins of bytes.
@@ -77,6 +77,12 @@ class Vocabulary:
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.piece = regex.compile(PIECE)
 
+    def text(self, packed: bytes) -> str:
+        """The text of packed ids. Bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
+        ids = np.frombuffer(packed, dtype="<u4")
+        ids = ids[ids < len(self.bytes_of)].tolist()
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
         parts = [self.first[b] for b in piece]
@@ -176,22 +182,36 @@ def decode(tokens: DataFrame, vocabulary_path: str) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``. Bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
 
     def build():
-        bytes_of = vocabulary(vocabulary_path).bytes_of
-        known = len(bytes_of)
+        vocab = vocabulary(vocabulary_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = []
-            for packed in encoded(batch, "ids"):
-                ids = np.frombuffer(packed, dtype="<u4")
-                ids = ids[ids < known].tolist()
-                texts.append(b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace"))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            texts = pa.array(map(vocab.text, encoded(batch, "ids")), pa.string())
+            return pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
         return step
 
     return map_texts(tokens.select("doc_id", "ids"), build, "doc_id long, ids binary, decoded string")
 
 
+def encode_and_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one Python step: ids pass to Spark once, and a task holds one vocabulary."""
+
+    def build():
+        words = encoder(vocabulary_path)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            packed = [words.encode(text) for text in strings(batch, "text")]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(packed, pa.binary()), pa.array(map(words.vocab.text, packed), pa.string())],
+                ["doc_id", "ids", "decoded"],
+            )
+
+        return step
+
+    rows = ids_and_texts(docs, id_col, text_col)
+    return map_texts(rows, build, "doc_id long, ids binary, decoded string").select(id_out(), "ids", "decoded")
+
+
 def token_count() -> Column:
     return F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
 

@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Stands for a null id inside an operator: such rows are one document, before all others.
 LOWEST = -(1 << 63)
+#: Rows whose texts a Python worker turns into objects at the same time.
+ROWS = 1_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,13 +37,14 @@ def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def map_texts(
     df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInArrow`` with state that ``build`` makes once for each task."""
+    """``mapInArrow`` with state that ``build`` makes once for each task; a step gets ``ROWS`` rows at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for at in range(0, batch.num_rows, ROWS):
+                yield step(batch.slice(at, ROWS))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

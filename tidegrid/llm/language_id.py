@@ -226,17 +226,19 @@ def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.4, text_
     Without a model (no labelled rows) only texts without a letter go.
     """
 
-    def run(batches):
-        for batch in batches:
+    def build():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = encoded(batch, text_col)
             keep = np.array([bool(LETTER.search(t.decode())) for t in texts], dtype=bool)
             known = np.flatnonzero(keep) if model else []
             for at in range(0, len(known), BLOCK):
                 some = known[at : at + BLOCK]
                 keep[some] = _means(model, [texts[i] for i in some]).max(1) >= min_score
-            yield batch.filter(pa.array(keep))
+            return batch.filter(pa.array(keep))
+
+        return step
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, build, docs.schema)
 
 
 def _means(model: Model, texts: list[bytes]) -> np.ndarray:
