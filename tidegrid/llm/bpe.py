@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import Recent, encoded, id_out, ids_and_texts, map_texts, strings
 
 SHORT = 128
-#: Words and pieces that a Python worker remembers, and as many from before; of time only.
+#: Words that a Python worker remembers, a third more pieces, and as many from before; of time only.
 CACHED_WORDS = 60_000
-CACHED_PIECES = 80_000
 NO_RANK = 1 << 60
 
 # Fixed values of byte-level BPE: the piece pattern and the printable stand-ins of bytes.
@@ -132,10 +131,10 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Packed ids of texts; words and their pieces are remembered, within bounds."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, remembered: int = CACHED_WORDS):
         self.vocab = vocab
-        self.words = Recent(self._word, CACHED_WORDS)
-        self.pieces = Recent(self._piece, CACHED_PIECES)
+        self.words = Recent(self._word, remembered)
+        self.pieces = Recent(self._piece, remembered * 4 // 3)
 
     def _piece(self, piece: str) -> bytes:
         return np.array(self.vocab.merge(piece.encode()), dtype="<u4").tobytes()
@@ -157,9 +156,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = CACHED_WORDS) -> Encoder:
     """One for all tasks of a Python worker, as what it remembers holds for all."""
-    return Encoder(vocabulary(path))
+    return Encoder(vocabulary(path), remembered)
 
 
 def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,11 +192,16 @@ def decode(tokens: DataFrame, vocabulary_path: str) -> DataFrame:
     return map_texts(tokens.select("doc_id", "ids"), build, "doc_id long, ids binary, decoded string")
 
 
-def encode_and_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``decode`` of ``encode`` in one Python step: ids pass to Spark once, and a task holds one vocabulary."""
+def encode_and_decode(
+    docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = CACHED_WORDS
+) -> DataFrame:
+    """``decode`` of ``encode`` in one Python step: ids pass to Spark once, and a task holds one vocabulary.
+
+    ``remembered`` words take about 400 bytes each in a Python worker and save time, where memory is left.
+    """
 
     def build():
-        words = encoder(vocabulary_path)
+        words = encoder(vocabulary_path, remembered)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             packed = [words.encode(text) for text in strings(batch, "text")]

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = bpe.encode_and_decode(table(spark, folder, "documents"), path)
+    tokens = bpe.encode_and_decode(table(spark, folder, "documents"), path, remembered=200_000)
     return tokens.select(
         "doc_id", bpe.token_count(), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
