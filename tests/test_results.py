@@ -149,6 +149,11 @@ def test_raw_csv_in_latin1_and_utf8(spark, tmp_path):
         assert second.demand is None and second.temperature is None and second.season is None
 
 
+def test_latin1_in_the_body_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Date,Hour,place\n01/12/2017,1,plain\n02/12/2017,2,Zoë\n".encode("latin-1"))
+    assert [r.place for r in csv.read_raw_csv(spark, str(tmp_path)).orderBy("date").collect()] == ["plain", "Zoë"]
+
+
 def test_hourly_csv_goes_to_the_model_table(spark, tmp_path):
     header = "Date,Rented Bike Count,Hour,Temperature(°C),Humidity(%),Wind speed (m/s),Visibility (10m)," \
         "Dew point temperature(°C),Solar Radiation (MJ/m2),Rainfall(mm),Snowfall (cm),Seasons,Holiday,Functioning Day,station\n"

@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from tidegrid.columns import RAW_HEADER, raw_type
 from tidegrid.functions.calendar import parse_date
 
-REPLACEMENT = "�"
-
 
 def header_and_encoding(spark: SparkSession, path: str) -> tuple[list[str], str]:
-    """Column names, and the encoding in which they are readable.
+    """Column names and the encoding, which the files of ``path`` share.
 
-    Bad UTF-8 does not raise in Spark, it becomes a replacement character; its
-    presence in the header means the file is latin-1. Reads the first line only.
+    Bad UTF-8 does not raise in Spark, it becomes a replacement character; so a path
+    with any line that is no UTF-8 is latin-1. A pass over the lines, up to the first such.
     """
-    for encoding in ("UTF-8", "ISO-8859-1"):
-        names = spark.read.options(header=True, encoding=encoding).csv(path).columns
-        if not any(REPLACEMENT in n for n in names):
-            break
-    return names, encoding
+    odd = spark.read.text(path).where("NOT is_valid_utf8(value)")
+    encoding = "UTF-8" if odd.isEmpty() else "ISO-8859-1"
+    return spark.read.options(header=True, encoding=encoding).csv(path).columns, encoding
 
 
 def read_raw_csv(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
