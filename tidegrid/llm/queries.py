@@ -9,7 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import bpe, chat, decontamination, language_id, line_dedup, quality_rules, simhash, substring_dedup, token_files, url_rules
+from tidegrid.llm import (
+    bpe,
+    chat,
+    decontamination,
+    language_id,
+    line_dedup,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_files,
+    url_rules,
+    whitening,
+)
 from tidegrid.llm.common import table
 from tidegrid.session import scratch_path
 
@@ -221,3 +233,11 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("distance")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model) if model else None
+    return whitening.whiten(rows, model).withColumn("identity_error", F.lit(error).cast("double"))
