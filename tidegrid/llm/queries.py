@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm import (
     bpe,
     chat,
+    collocations,
     decontamination,
     language_id,
     line_dedup,
@@ -241,3 +242,53 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     model = whitening.fit(rows)
     error = whitening.identity_error(rows, model) if model else None
     return whitening.whiten(rows, model).withColumn("identity_error", F.lit(error).cast("double"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'
+  )) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), phrases AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, unnest([array_to_string(list_slice(w, p, p + k - 1), ' ') for p in range(1, len(w) - k + 2)]) AS phrase
+    FROM words, (VALUES (1), (2), (3), (4)) sizes(k) WHERE len(w) >= k
+  ) GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM phrases WHERE k = 1 GROUP BY lang
+), frequent AS MATERIALIZED (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM phrases WHERE f >= {least}
+), cuts AS (
+  SELECT lang, phrase, k, f AS a, w, unnest(range(1, k)) AS cut FROM frequent WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, first.f AS l, rest.f AS r, cut,
+         CAST(CAST(c.a AS HUGEINT) * 2000000 // (first.f + rest.f) AS BIGINT) AS score
+  FROM cuts c
+  JOIN frequent first ON first.lang = c.lang AND first.phrase = array_to_string(list_slice(c.w, 1, cut), ' ')
+  JOIN frequent rest ON rest.lang = c.lang AND rest.phrase = array_to_string(list_slice(c.w, cut + 1, c.k), ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored
+), longer AS (
+  SELECT lang, f, array_to_string(list_slice(w, p, p + m - 1), ' ') AS phrase FROM (
+    SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS p FROM frequent, (VALUES (2), (3)) sizes(m) WHERE m < k
+  )
+), around AS (
+  SELECT lang, phrase, max(f) AS most FROM longer GROUP BY lang, phrase
+), ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM lowest x LEFT JOIN around USING (lang, phrase)
+  WHERE place = 1 AND NOT coalesce(CAST(most AS HUGEINT) * 100 >= CAST(a AS HUGEINT) * 80, false)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {limit}
+"""
+
+
+def _op11_sql(least: int = 30, limit: int = 2000) -> str:
+    return OP11_SQL.replace("{least}", str(least)).replace("{limit}", str(limit))
+
+
+@query("op11_collocations", _op11_sql())
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), min_count=30, covered=80, limit=2000)
