@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidegrid.llm import collocations, phrase_trie
@@ -81,7 +82,8 @@ def test_long_text_and_a_hot_pair(spark):
 
 def test_containers_burst_and_runs_merge(monkeypatch):
     monkeypatch.setattr(phrase_trie, "BURST", 3)
-    trie, plain = phrase_trie.PhraseTrie(b"\xff"), Counter()
+    all_bits = phrase_trie.Filter(8, b"\xff" * 64)
+    trie, plain = phrase_trie.PhraseTrie(b"\xff", 7, all_bits), Counter()
     merged: dict[int, phrase_trie.Merger] = {}
     for step in range(6):
         words = [b"w%d" % ((k * k + step) % 11) for k in range(200)] + [b"\xff"]
@@ -95,8 +97,8 @@ def test_containers_burst_and_runs_merge(monkeypatch):
         merged.setdefault(part, phrase_trie.Merger(limit=10)).add(run)
     total, seen = 0, Counter()
     for merger in merged.values():
-        n, phrases, sizes, counts = merger.frequent(1)
-        total += n
+        phrases, sizes, counts = merger.frequent(1)
+        total += sum(c for c, n in zip(counts.tolist(), sizes.tolist()) if n == 1)
         assert [len(p.split()) for p in phrases] == sizes.tolist()
         for phrase, count in zip(phrases, counts.tolist()):
             assert phrase not in seen  # each sequence is counted in one part
@@ -105,6 +107,24 @@ def test_containers_burst_and_runs_merge(monkeypatch):
     assert seen == Counter({b" ".join(p).decode(): c for p, c in plain.items()})
 
 
+def test_counters_never_fall_below_counts():
+    seen = phrase_trie.Seen(10)
+    words = [b"w%d" % (k * k % 97) for k in range(4_000)]
+    hashes = np.array([phrase_trie.word_hash(w, 3) for w in words], np.uint64)
+    hashes[::50] = 0
+    for at in range(0, len(words), 999):
+        seen.add(hashes[at : at + 1_000], 999)
+    pairs = phrase_trie.pair_hashes(hashes)[(hashes[:-1] > 0) & (hashes[1:] > 0)]
+    for least in (1, 20, 60):
+        bits = np.packbits(seen.tables >= least, axis=1).tobytes()
+        known = phrase_trie.Filter(10, bits)
+        assert all(known.word(h) for h, n in Counter(hashes[hashes > 0].tolist()).items() if n >= least)
+        found = np.array([h for h, n in Counter(pairs.tolist()).items() if n >= least], np.uint64)
+        assert known.pair(found).all()
+    assert not all(known.word(h) for h in set(hashes.tolist()))
+    assert int(seen.tables[0].sum()) == int((hashes > 0).sum()) and int(seen.tables[1].sum()) == len(pairs)
+
+
 def test_sql_of_the_query(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     con = duckdb.connect()

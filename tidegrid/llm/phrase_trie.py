@@ -11,6 +11,10 @@ hash of their words: single words by the first, pairs by two and longer ones by
 words, so each sequence is counted in one part and no frequent word makes a large one.
 What goes to a part is a run: sequences in the byte order of their words, as columns of
 positions in the run's own sorted word list, and counts.
+
+``Seen`` counts hashes of words and of neighbours in tables of a fixed size. A slot's sum
+is never below the count of a word or pair in it, so where it is too small no sequence
+that is asked for can hold the word or the pair: paths end there.
 """
 
 from __future__ import annotations
@@ -34,12 +38,65 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Of the hashes of words in turn, those of each word and the next."""
+    return _mixed(hashes[:-1] * _MIX + hashes[1:])
+
+
+class Seen:
+    """Counters of words and of neighbouring words by hash, each of ``1 << log2`` slots."""
+
+    #: Counts are held in 16 bits and stop at ``FULL``, so that ``STEP`` more have room.
+    FULL, STEP = 30_000, 30_000
+
+    def __init__(self, log2: int):
+        self.shift = np.uint64(64 - log2)
+        self.tables = np.zeros((2, 1 << log2), np.uint16)
+
+    def add(self, hashes: np.ndarray, own: int) -> None:
+        """Hashes of words in turn, 0 between pieces; at most ``STEP`` words of their own and the next one."""
+        real = hashes > 0
+        for table, found in zip(self.tables, (hashes[:own][real[:own]], pair_hashes(hashes)[real[:-1] & real[1:]])):
+            slots = (found >> self.shift).astype(np.int64)
+            np.add.at(table, slots, np.uint16(1))
+            table[slots] = np.minimum(table[slots], self.FULL)
+
+
+class Filter:
+    """Bits of the slots of ``Seen`` that reached a count."""
+
+    def __init__(self, log2: int, bits: bytes):
+        self.shift = 64 - log2
+        self.words, self.pairs = np.frombuffer(bits, np.uint8).reshape(2, -1)
+
+    def word(self, found: int) -> bool:
+        slot = found >> self.shift
+        return bool(self.words[slot >> 3] >> (7 - (slot & 7)) & 1)
+
+    def pair(self, found: np.ndarray) -> np.ndarray:
+        slots = (found >> np.uint64(self.shift)).astype(np.int64)
+        return self.pairs[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
+
+
+def word_hash(word: bytes, seed: int) -> int:
+    """Never 0, which stands between pieces."""
+    return xxhash.xxh3_64_intdigest(word, seed) or 1
+
+
 class _Ids(dict):
-    """Numbers words from 1 as they come."""
+    """Numbers words from 1 as they come; 0 for a word that is too rare, which is not kept."""
+
+    def __init__(self, stop: bytes, seed: int, known: Filter):
+        super().__init__({stop: 0})
+        self.seed, self.known, self.hashes = seed, known, [0]
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self)
-        return found
+        found = word_hash(word, self.seed)
+        if not self.known.word(found):
+            return 0
+        self[word] = len(self)
+        self.hashes.append(found)
+        return self[word]
 
 
 class PhraseTrie:
@@ -48,12 +105,13 @@ class PhraseTrie:
     ``paths`` is a bound of their number, and exact after ``count_paths``.
     """
 
-    def __init__(self, stop: bytes):
-        self.stop = stop
+    def __init__(self, stop: bytes, seed: int, known: Filter):
+        self.stop, self.seed, self.known = stop, seed, known
         self.clear()
 
     def clear(self) -> None:
-        self.ids = _Ids({self.stop: 0})
+        self.ids = _Ids(self.stop, self.seed, self.known)
+        self.hashes = np.zeros(1, np.uint64)
         self.tops: list[dict] = [{}]
         self.burst: set[int] = set()
         self.paths = 0
@@ -61,12 +119,14 @@ class PhraseTrie:
     def add(self, words: list[bytes], own: int) -> None:
         """The paths of the first ``own`` words; what follows them is context."""
         first = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        self.tops += [{} for _ in range(len(self.ids) - len(self.tops))]
-        ahead = np.zeros((3, len(first)), np.int64)
-        for k in range(3):
-            ahead[k, : -1 - k] = first[k + 1 :]
-        ahead[1] *= ahead[0] > 0
-        ahead[2] *= ahead[1] > 0
+        new = len(self.ids) - len(self.tops)
+        if new:
+            self.tops += [{} for _ in range(new)]
+            self.hashes = np.concatenate([self.hashes, np.array(self.ids.hashes[-new:], np.uint64)])
+        ahead = np.zeros((3, len(first) + 2), np.int64)
+        ahead[0, : len(first) - 1] = first[1:] * ((first[:-1] > 0) & (self.known.pair(pair_hashes(self.hashes[first])) > 0))
+        ahead[1, :-1] = ahead[0, 1:] * (ahead[0, :-1] > 0)
+        ahead[2, :-2] = ahead[0, 2:] * (ahead[1, :-2] > 0)
         rest = (ahead[0] << 2 * BITS) | (ahead[1] << BITS) | ahead[2]
         real = np.flatnonzero(first[:own] > 0)
         self.paths += len(real)
@@ -149,7 +209,7 @@ class PhraseTrie:
         words = [words[i] for i in order]
         place = np.zeros(int(used[-1]) + 1, np.int64)
         place[used[np.array(order)]] = np.arange(1, len(words) + 1)
-        hashes = np.array([0, *map(xxhash.xxh3_64_intdigest, words)], np.uint64)
+        hashes = np.append(np.uint64(0), self.hashes[used[np.array(order)]])
         paths, count = _summed(place[paths], count)
         ones, n_ones = _prefixes(paths, count, 1)
         twos, n_twos = _prefixes(paths[paths[:, 1] > 0], count[paths[:, 1] > 0], 2)
@@ -164,6 +224,7 @@ class PhraseTrie:
         order = np.lexsort((rows[:, 2] << 32 | rows[:, 3], rows[:, 0] << 32 | rows[:, 1], part))
         part, rows, counts = part[order], rows[order], counts[order]
         edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        words = np.array([b"", *words], dtype=object)
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             yield int(part[a]), write_run(words, rows[a:b], counts[a:b])
 
@@ -188,13 +249,13 @@ def _prefixes(paths: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray,
     return heads, np.add.reduceat(count, new)
 
 
-def write_run(words: list[bytes], rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted rows of positions in ``words`` (0: none), as bytes with a word list of their own."""
+def write_run(words: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted rows of positions in ``words`` (its first entry is none), as bytes with a word list of their own."""
     used, local = np.unique(rows, return_inverse=True)
     local = local.reshape(rows.shape).astype("<u4")
     if len(used) and used[0] > 0:
         local += 1
-    text = b"\n".join(words[i - 1] for i in used.tolist() if i > 0)
+    text = b"\n".join(words[used[used > 0]].tolist())
     columns = [np.diff(local[:, 0].astype(np.int64), prepend=0).astype("<u4"), *local[:, 1:].T, counts.astype("<u8")]
     # bytes of one weight side by side, as most of the higher ones are zero
     planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
@@ -244,17 +305,16 @@ class Merger:
         self.rows, self.counts = _summed(np.concatenate(rows), np.concatenate([r[2] for r in runs]))
         self.runs, self.pending = [], 0
 
-    def frequent(self, least: int) -> tuple[int, list[str], np.ndarray, np.ndarray]:
-        """Occurrences of single words, then phrases found ``least`` times, their numbers of words and counts."""
+    def frequent(self, least: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Phrases found ``least`` times or more, their numbers of words and counts."""
         self.merge()
         rows, counts = self.rows, self.counts
         short = rows[:, 2] == 0
         three, n_three = _prefixes(rows[~short], counts[~short], 3)
         four = rows[:, 3] > 0
         rows = np.concatenate([rows[short], three, rows[four]])
-        total = int(counts[short][self.rows[short][:, 1] == 0].sum())
         counts = np.concatenate([counts[short], n_three, counts[four]])
         rows, counts = rows[counts >= least], counts[counts >= least]
         words = [b"", *self.words]
         phrases = [b" ".join(words[i] for i in row if i).decode() for row in rows.tolist()]
-        return total, phrases, (rows > 0).sum(1), counts
+        return phrases, (rows > 0).sum(1), counts
