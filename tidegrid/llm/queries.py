@@ -19,6 +19,7 @@ from tidegrid.llm import (
     quality_rules,
     simhash,
     substring_dedup,
+    suffix_dedup,
     token_files,
     url_rules,
     whitening,
@@ -292,3 +293,44 @@ def _op11_sql(least: int = 30, limit: int = 2000) -> str:
 @query("op11_collocations", _op11_sql())
 def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"), min_count=30, covered=80, limit=2000)
+
+
+OP12_SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), starts AS (
+  SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM texts WHERE n >= 100
+), hashed AS MATERIALIZED (
+  SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS g FROM starts
+), firsts AS (
+  SELECT g, min((doc_id, p)) AS first FROM hashed GROUP BY g HAVING count(*) > 1
+), later AS (
+  SELECT doc_id, p, lag(p) OVER w AS before, lead(p) OVER w AS after
+  FROM hashed JOIN firsts USING (g) WHERE (doc_id, p) <> first WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), spans AS (
+  SELECT doc_id, p AS a, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM later WHERE before IS NULL OR p - before > 100
+), ends AS (
+  SELECT doc_id, p + 100 AS b FROM later WHERE after IS NULL OR after - p > 100
+), cuts AS (
+  SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k, next FROM spans
+), stops AS (
+  SELECT doc_id, b, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS k FROM ends
+), removed AS (
+  SELECT doc_id, k, a, b, next FROM cuts JOIN stops USING (doc_id, k)
+), joined AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * b + 1, 2 * (coalesce(next, n) - b)), '' ORDER BY k) AS rest, min(a) AS first
+  FROM removed JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE substr(h, 1, 2 * first) || rest END)) AS kept_sha256
+FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
+
+@query("op12_suffix_dedup", OP12_SQL)
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.dedup_bytes(table(spark, folder, "documents"), window=100)
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
