@@ -22,10 +22,11 @@ def characters(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def equal_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def equal_groups(data: np.ndarray, starts: np.ndarray, length: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``starts`` of strings that equal another one, sorted, and the group of each.
 
     Strings are ``data[start : start + length]``. Those that equal no other are left out.
+    ``apart`` gives small numbers, of which different ones are known to mean different strings.
     """
     values = characters(data)
     # the last character ends with the string, over bytes seen before where the length is no multiple
@@ -33,8 +34,13 @@ def equal_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
     cover = np.uint64(0xFFFFFFFFFFFFFFFF)
     if length < CHARACTER:
         cover <<= np.uint64(8 * (CHARACTER - length))
-    item, segment = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    depth = np.zeros(min(len(starts), 1), np.int64)  # characters known to be equal, for each segment
+    apart = np.zeros(len(starts), np.int64) if apart is None else apart
+    shared = np.bincount(apart) > 1
+    item = np.flatnonzero(shared[apart])
+    segment = (np.cumsum(shared) - 1)[apart[item]]
+    order = np.argsort(segment, kind="stable")
+    item, segment = item[order], segment[order]
+    depth = np.zeros(int(shared.sum()), np.int64)  # characters known to be equal, for each segment
     offsets = np.array([*offsets, 0])
     done_items, done_groups, done = [], [], 0
     while len(item):

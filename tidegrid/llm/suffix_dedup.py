@@ -30,6 +30,7 @@ character, so they are binary. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,6 +215,14 @@ def _cut_blocks(rows: DataFrame, window: int, lead: int) -> DataFrame:
     return map_texts(rows, build, "lead binary, doc_id long, key long, start long, block binary")
 
 
+def _places(block: bytes, lead: bytes) -> np.ndarray:
+    found, at = [], block.find(lead)
+    while at >= 0:
+        found.append(at)
+        at = block.find(lead, at + 1)
+    return np.array(found)
+
+
 class Bucket:
     """Blocks of some leads, whose repeated windows are looked for together.
 
@@ -245,14 +254,27 @@ class Bucket:
                 others.append(row)
             else:
                 spans.append((doc, key, start, len(block) - window + 1))
-        blocks = [row for rows in firsts.values() for row in rows]
+        contents = Counter(rows[0][0] for rows in firsts.values() for _ in rows)
+        places = {block: _places(block, rows[0][0]) for block, rows in firsts.items()}
+        # windows of a lead's only block equal none, unless the lead is in it twice
+        blocks = [
+            row for block, rows in firsts.items() for row in rows
+            if contents[row[0]] > 1 or len(places[block]) > 1 or row[0] in going_on
+        ]
+        if not blocks:
+            return spans, []
         counts = np.array([len(r[4]) - window + 1 for r in blocks])
         ends = np.cumsum([len(r[4]) for r in blocks])
         data = np.frombuffer(b"".join(r[4] for r in blocks), np.uint8)
         owner = np.repeat(np.arange(len(blocks)), counts)
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.repeat(ends - [len(r[4]) for r in blocks], counts) + within
-        order, group = equal_groups(data, at, window)
+        # equal windows have their lead in the same place
+        leads = {lead: k for k, lead in enumerate(dict.fromkeys(r[0] for r in blocks))}
+        lead_at = np.concatenate([p[np.searchsorted(p, np.arange(n))] - np.arange(n) if len(p) > 1 else p[0] - np.arange(n)
+                                  for p, n in zip((places[r[4]] for r in blocks), counts.tolist())])
+        apart = np.repeat([leads[r[0]] for r in blocks], counts) * window + lead_at
+        order, group = equal_groups(data, at, window, apart)
         docs, keys, starts = (np.array([r[k] for r in blocks], np.int64) for k in (1, 2, 3))
         own, place = owner[order], starts[owner[order]] + within[order]
         later = np.zeros(len(owner), bool)
