@@ -173,7 +173,7 @@ def test_whole_text_is_read():
 
 
 QUESTION = "A train with Alice travels 60 km in 2 hours and then Alice walks 5 km more to reach the old town by noon."
-ITEMS = [(7, QUESTION), (8, "short one"), (9, None), (10, ""), (11, "never seen words stand here in this very text of ours"),
+ITEMS = [(7, QUESTION), (8, "short one"), (20, "three short words"), (9, None), (10, ""), (11, "never seen words stand here in this very text of ours"),
          (12, "3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (None, "another plain item that has enough words to be found at all")]
 
 
@@ -186,6 +186,8 @@ def test_contamination(spark, by_id, monkeypatch, limit):
         (4, None), (5, ""), (None, changed.upper().replace("BOB", "Bob")), (6, QUESTION.replace("60 km", "60km")),
         (13, "What is short here? one"), (14, "short one."), (15, "A train with Alice travels 60 km elsewhere entirely, far from it all."),
         (16, "20 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35"), (17, "x another plain item that has enough words to be found at all"),
+        (19, QUESTION.title()), (20, "So: three SHORT words."), (21, QUESTION.replace("Alice", "Ann", 1)),
+        (22, QUESTION.replace("60", "4").replace(" 2 ", " 4 ").replace("5 km", "9 km")), (23, re.sub("[.,]", "", QUESTION).upper()),
         (2, changed), (18, "the same words with Alice in 7 hours but nothing else of the question at all, as clean text has"),
     ]
     rows = spark.createDataFrame([(*r, 1, 2, "s") for r in docs], "doc_id long, text string, at int, h int, slots string")
@@ -193,7 +195,8 @@ def test_contamination(spark, by_id, monkeypatch, limit):
     got = decontamination.contaminations(rows, items).collect()
     found = {(r.doc_id, r.item_id): r for r in got}
     assert len(got) == len(found)
-    assert set(found) == {(1, 7), (2, 7), (6, 7), (17, None)} | {(None, 7)} & set(found)
+    assert set(found) == {(1, 7), (2, 7), (3, 7), (6, 7), (17, None), (None, 7), (19, 7), (20, 20), (21, 7), (22, 7), (23, 7)}
+    assert found[19, 7].share == found[23, 7].share == 1 and found[3, 7].share < found[2, 7].share
     assert found[1, 7].share == 1 and found[1, 7].changed == 0 and found[2, 7].changed == found[2, 7].n_slots - 1 > 3
     assert decontamination.contaminations(rows.where("false"), items).count() == 0
     assert decontamination.contaminations(rows, items.where("false")).count() == 0

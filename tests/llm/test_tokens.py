@@ -45,6 +45,16 @@ def test_word_ids_equal_library(library):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == library[WORDS].encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_letter_as_the_library_has_it():
+    """Some letters are taken apart before the tokenizer's pattern sees them."""
+    words = token_files.WordIds(WORDS)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and (c < 0x3400 or c % 7 == 0 or 0xF900 <= c < 0xFFFF)]
+    assert "\u0958" in letters and "\ufb1d" in letters
+    for c in letters:
+        for text in (c, f"a{c}b."):
+            assert words.encode(text) == words._part(text), repr(text)
+
+
 def test_caches_are_bounded_and_harmless():
     recent = bpe.Recent(str.upper, 3, longest=5)
     assert [recent[k] for k in "abcdabcdefg"] == list("ABCDABCDEFG") and len(recent) <= 3 and len(recent.older) <= 3

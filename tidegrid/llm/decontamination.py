@@ -3,21 +3,27 @@
 Tokens of a text become template tokens: numbers, names and units are replaced by
 typed placeholders, anything else is its lower-case form without the punctuation
 around it. Windows of template tokens are hashed and joined with those of the
-benchmark. A match gives an alignment (document position minus item position), and
-its slots must be consistent: along one alignment each value of the item stands for
-one value of the document and the other way round. So a question whose numbers and
+benchmark. A match gives an alignment
+(document position minus item position), and its slots must be consistent: along one
+alignment a number or unit of the item stands for one value of the document, the most
+frequent one, and names stand for each other one to one. Windows that hold another value
+do not count, unless all their slots equal the item's. So a question whose numbers and
 names have been changed is found, and a text that only has the same shape is not.
-A document is contaminated by an item if windows of consistent alignments make up at
-least ``min_share`` of the item's windows.
+A document is contaminated by an item if windows of its alignments make up at least
+``min_share`` of the item's windows.
+
+Beside each template window stands the literal one, of the same words in lower case. It
+needs no slots and counts whatever the case and the punctuation around the words are, and
+in items of too few literal tokens for a template.
 
 * number: digits with ``. , : /`` between them, or a word for a number;
 * unit: a word of ``UNITS`` after a number, or joined to one, or ``%``;
 * name: a capital letter with small ones after it, not at the start of a sentence
   (the start of the text or of a line, or after ``. ! ? :``).
 
-Windows without ``min_literal`` literal tokens aren't used. An item shorter than a
-window is one window of its own length; an item without a usable window is never
-found. If the benchmark has at most ``BROADCAST_WINDOWS`` windows, their hashes are
+Templates without ``min_literal`` literal tokens aren't used. An item shorter than a
+window is one window of its own length; an item of fewer than ``min_words`` words is
+never found, as its words stand everywhere. If the benchmark has at most ``BROADCAST_WINDOWS`` windows, their hashes are
 sent to the tasks, which then emit matching windows only; a larger benchmark is
 joined by a shuffle, with the same result.
 
@@ -28,6 +34,8 @@ and null in the result; rows of one id are one document. Null item ids are one i
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import encoded, id_in, id_out, ids_and_texts, lists, map_texts
+from tidegrid.llm.common import encoded, id_in, id_out, ids_and_texts, map_texts
 from tidegrid.session import write_and_read
 
 BROADCAST_WINDOWS = 2_000_000
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 300_000
 
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz ton tons tonnes ml l litre litres "
@@ -57,7 +65,10 @@ AROUND = r"[\p{P}\p{S}]+"
 CORE = regex.compile(rf"^{AROUND}|{AROUND}$")
 NUMERAL = regex.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
 NAMED = regex.compile(r"\p{Lu}\p{Ll}+(?:[-'’]\p{L}+)*")
+_MARKS = ".,;:!?\"'()-"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Tells windows of words from windows of templates.
+_LITERAL_WINDOW = np.uint64(1 << 32)
 
 
 class Tokens:
@@ -94,8 +105,25 @@ class Tokens:
             self._add(token)
         return np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
+    def _plain(self, text: str) -> bool:
+        """Most tokens: letters with common marks around, of which no pattern has to be asked."""
+        core = text.strip(_MARKS)
+        lower = core.lower()
+        if not core.isalpha() or lower in NUMBER_WORDS or not (core == lower or core[0].isupper() and core[1:].islower()):
+            return False
+        i = len(self.cores)
+        self.cores.append(core)
+        self.hash[i] = xxhash.xxh3_64_intdigest(lower.encode())
+        self.kind[i], self.parts[i] = LITERAL, 1
+        self.named[i] = core != lower and (core.isascii() or bool(NAMED.fullmatch(core)))
+        self.unit[i] = lower in UNITS
+        self.ends[i] = len(core) < len(text) and text.rstrip("\"')]”’").endswith((".", "!", "?", ":"))
+        return True
+
     def _add(self, token: bytes) -> None:
         i, text = len(self.cores), token.decode()
+        if self._plain(text):
+            return
         core, kind, parts = CORE.sub("", text), LITERAL, 1
         lower = core.lower()
         numeral = NUMERAL.match(core)
@@ -114,6 +142,12 @@ class Tokens:
         self.ends[i] = text == "\n" or text.rstrip("\"')]”’").endswith((".", "!", "?", ":"))
 
 
+@lru_cache(maxsize=1)
+def _tokens() -> Tokens:
+    """One for all tasks of a Python worker."""
+    return Tokens()
+
+
 class Template:
     """Template tokens of one text: hash and kind of each, and where its value is."""
 
@@ -123,6 +157,7 @@ class Template:
         self.tokens = tokens
         if not len(index):
             self.hashes, self.kinds, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int8), index
+            self.words = self.hashes
             return
         start = np.r_[True, tokens.ends[index[:-1]]]
         kind = tokens.kind[index]
@@ -139,20 +174,26 @@ class Template:
         self.second[ends[parts == 2]] = True
         self.kinds[self.second] = UNIT
         placeholders = np.array([0, 1, 2, 3], dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.words = tokens.hash[self.index]
+        self.words[self.second] ^= placeholders[UNIT]
         self.hashes = np.where(self.kinds == LITERAL, tokens.hash[self.index], placeholders[self.kinds])
 
-    def windows(self, width: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of the windows with enough literal tokens."""
+    def windows(self, width: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and hash of the windows, and whether it is one of words: these all, templates with enough literal tokens."""
         n = len(self.hashes) - width + 1
         if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        out = np.full(n, width, np.uint64)
-        for k in range(width):
-            out = out * _BASE + self.hashes[k : k + n]
-            out ^= out >> np.uint64(29)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        template, words = np.full(n, width, np.uint64), np.full(n, _LITERAL_WINDOW + np.uint64(width), np.uint64)
+        for out, hashes in ((template, self.hashes), (words, self.words)):
+            for k in range(width):
+                out *= _BASE
+                out += hashes[k : k + n]
+                out ^= out >> np.uint64(29)
         sums = np.r_[0, np.cumsum(self.kinds == LITERAL)]
         at = np.flatnonzero(sums[width:] - sums[:-width] >= min_literal)
-        return at, out[at]
+        every = np.arange(n)
+        literal = np.repeat([False, True], [len(at), n])
+        return np.r_[at, every], np.r_[template[at], words], literal
 
     def slots(self, at: int, width: int) -> list[str]:
         """The values under the placeholders of a window, each after its kind."""
@@ -184,14 +225,18 @@ def _matches(width: int, wanted: np.ndarray | None):
     return of
 
 
-def template_windows(rows: DataFrame, width: int, min_literal: int, wanted=None, whole: bool = False, widths=None) -> DataFrame:
+def template_windows(
+    rows: DataFrame, width: int, min_literal: int, wanted=None, whole: bool = False, widths=None, min_words: int = 1
+) -> DataFrame:
     """``doc_id`` and the windows of each text; with ``whole`` a shorter text is one window of its length.
 
+    The slots of a window of words are null.
+
     ``widths`` are the window lengths to use (else ``width``), ``wanted`` a broadcast of the sorted hashes to keep.
     """
 
     def build():
-        tokens, keep = Tokens(), _matches(width, wanted.value if wanted else None)
+        tokens, keep = _tokens(), _matches(width, wanted.value if wanted else None)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, hashes, starts, slots = [], [], [], []
@@ -199,20 +244,19 @@ def template_windows(rows: DataFrame, width: int, min_literal: int, wanted=None,
                 template = Template(text, tokens)
                 own = [min(width, len(template.hashes))] if whole else widths or [width]
                 for length in own:
-                    if not length:
+                    if length < min_words:
                         continue
-                    at, h = template.windows(length, min_literal)
+                    at, h, literal = template.windows(length, min_literal)
                     hit = keep(h)
-                    at, h = at[hit], h[hit]
+                    at, h, literal = at[hit], h[hit], literal[hit]
                     ids += [i] * len(at)
                     hashes.append(h)
                     starts.append(at)
-                    slots += [template.slots(a, length) for a in at.tolist()]
+                    slots += [None if words else template.slots(a, length) for a, words in zip(at.tolist(), literal.tolist())]
             h = np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64)
             at = np.concatenate([np.zeros(0, np.int64), *starts])
-            counts = np.array([len(s) for s in slots], dtype=np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(h), pa.array(at), lists([v for s in slots for v in s], counts, pa.string())],
+                [pa.array(ids, pa.int64()), pa.array(h), pa.array(at), pa.array(slots, pa.list_(pa.string()))],
                 ["doc_id", "h", "at", "slots"],
             )
 
@@ -221,8 +265,39 @@ def template_windows(rows: DataFrame, width: int, min_literal: int, wanted=None,
     return map_texts(rows, build, f"doc_id long, {WINDOWS}")
 
 
+def _consistent(lines: DataFrame) -> DataFrame:
+    """Of each alignment (at most one match for each of its item's windows) the windows that count and their pairs."""
+
+    def chosen(windows: list[dict]) -> set[tuple[str, str]]:
+        seen = Counter((a, b) for w in windows if w["own"] is not None for a, b in set(zip(w["item"], w["own"])))
+        best, taken = {}, {}
+        # the most frequent value first, equal ones before others
+        for (a, b), _ in sorted(seen.items(), key=lambda x: (-x[1], x[0][0] != x[0][1], x[0])):
+            name = a[0] == str(NAME)
+            if a not in best and not (name and b in taken):
+                best[a] = b
+                if name:
+                    taken[b] = a
+        return set(best.items())
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, pairs = [], []
+        for windows in batch.column("windows").to_pylist():
+            good = chosen(windows)
+            kept = [w for w in windows if w["own"] is None or w["own"] == w["item"] or set(zip(w["item"], w["own"])) <= good]
+            places.append(sorted({w["item_at"] for w in kept}))
+            own = {p for w in kept if w["own"] is not None for p in zip(w["item"], w["own"])}
+            pairs.append([{"item": a, "own": b} for a, b in sorted(own)])
+        pair = pa.struct([("item", pa.string()), ("own", pa.string())])
+        columns = [*(batch.column(c) for c in ("doc_id", "item_id")), pa.array(places, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pair))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "places", "pairs"])
+
+    schema = "doc_id long, item_id long, places array<long>, pairs array<struct<item:string,own:string>>"
+    return map_texts(lines, lambda: step, schema)
+
+
 def contaminations(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_literal: int = 4, min_share: float = 0.5,
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, min_literal: int = 4, min_share: float = 0.5, min_words: int = 3,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """A row for each contaminated document and item.
@@ -231,9 +306,9 @@ def contaminations(
     """
     spark = docs.sparkSession
     items = benchmark.select(id_in(item_col), F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    own = write_and_read(template_windows(items, window, min_literal, whole=True), "benchmark-windows")
+    own = write_and_read(template_windows(items, window, min_literal, whole=True, min_words=min_words), "benchmark-windows")
     asked = own.select(F.col("doc_id").alias("item_id"), "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    widths = _widths(items, window)
+    widths = [w for w in _widths(items, window) if w >= min_words] or [window]
     count = own.count()
     wanted = None
     if count <= BROADCAST_WINDOWS:
@@ -241,15 +316,11 @@ def contaminations(
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
     found = template_windows(ids_and_texts(docs, id_col, text_col), window, min_literal, wanted, widths=widths)
     small = F.broadcast(asked) if count <= BROADCAST_WINDOWS // 20 else asked
-    hits = found.join(small, "h").where(F.size("slots") == F.size("item_slots"))
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("own")))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).agg(
-        F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+    hits = found.join(small, "h").where(F.size("slots").eqNullSafe(F.size("item_slots")))
+    lines = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("_offset")).agg(
+        F.sort_array(F.collect_set(F.struct("item_at", F.col("item_slots").alias("item"), F.col("slots").alias("own")))).alias("windows")
     )
-    item_values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    own_values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["own"])))
-    consistent = (F.size("pairs") == item_values) & (F.size("pairs") == own_values)
-    per_pair = lines.where(consistent).groupBy("doc_id", "item_id").agg(
+    per_pair = _consistent(lines).groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
@@ -265,7 +336,7 @@ def contaminations(
 def _widths(items: DataFrame, window: int) -> list[int]:
     """The window lengths that items have: ``window``, and those of shorter items."""
     def build():
-        tokens = Tokens()
+        tokens = _tokens()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = {min(window, len(Template(t, tokens).hashes)) for t in encoded(batch, "text")}

@@ -24,7 +24,7 @@ from tidegrid.llm import (
     url_rules,
     whitening,
 )
-from tidegrid.llm.common import table
+from tidegrid.llm.common import map_texts, table
 from tidegrid.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,17 +61,13 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
 
-    def checksums(batches):
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            at = ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:])]
-            kept = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    def checksums(batch):
+        crc = [zlib.crc32(ids.values.to_numpy(zero_copy_only=False).astype("<u4")) for ids in batch.column("ids")]
+        kept = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return token_files.read_tokens(spark, path).mapInArrow(checksums, schema)
+    return map_texts(token_files.read_tokens(spark, path), lambda: checksums, schema)
 
 
 SITE_RULES = (

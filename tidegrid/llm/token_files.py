@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.bpe import byte_characters
-from tidegrid.llm.common import Recent, id_out, ids_and_texts, lists, strings
+from tidegrid.llm.common import ROWS, Recent, id_out, ids_and_texts, lists, strings
 
 #: Words and parts of words that a Python worker remembers, and as many from before; of time only.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 60_000
 #: Punctuation that is cut off a word, and letters whose small form hangs on what is around them.
 MARKS = ".,!?;:%&*#$|()\"-"
 ODD_CASE = "\u03a3\u0130"
@@ -68,7 +68,6 @@ class WordIds:
     def _stem(self, stem: str) -> bytes:
         """Of a lower-case word of letters: one piece, so only the library's BPE itself is asked."""
         if not stem.isascii():
-            stem = unicodedata.normalize("NFC", stem)
             stem = stem.encode().decode("latin-1").translate(self.stand_ins)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(stem)]).tobytes()
 
@@ -76,7 +75,11 @@ class WordIds:
         stem = word.rstrip(MARKS)
         if not stem.isalpha() or ODD_CASE[0] in stem or ODD_CASE[1] in stem:
             return self._part(word)
-        ids = self.stems[stem.lower()]
+        low = stem.lower()
+        # some letters are taken apart by the normaliser into a letter and a mark, which ends a piece
+        if not low.isascii() and (not low.isalpha() or not unicodedata.is_normalized("NFC", low)):
+            return self._part(word)
+        ids = self.stems[low]
         return ids + self.marks[word[len(stem) :]] if len(stem) < len(word) else ids
 
     def encode(self, text: str) -> bytes:
@@ -108,9 +111,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             packed = [words.encode(text) + end for text in strings(batch, "text")]
             counts = np.array([len(p) // 4 for p in packed], dtype=np.int64)
             starts = at + np.cumsum(counts) - counts
@@ -123,10 +124,13 @@ def write_tokens(
                 ],
                 ["part", "doc_id", "local_start", "n_tokens", "ids"],
             )
+        pa.default_memory_pool().release_unused()
 
     rows = ids_and_texts(docs, id_col, text_col)
-    ranged = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
-    tokens = ranged.sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA)
+    # the hash parts rows of one id (null ids, say) that no single task should get
+    order = ["doc_id", F.xxhash64("text")]
+    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    tokens = ranged.sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
     writer = tokens.write.option("parquet.writer.version", "PARQUET_2_0").option("compression", "zstd")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
     writer = writer.option("parquet.page.row.count.limit", page_rows)
