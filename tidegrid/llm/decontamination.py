@@ -33,9 +33,9 @@ and null in the result; rows of one id are one document. Null item ids are one i
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +60,10 @@ NUMBER_WORDS = frozenset(
     "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
     "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 )
-TOKEN = re.compile(rb"\n|[^\x20\x09-\x0D]+")
+#: A line break as a token, by a byte that no UTF-8 text has.
+_LINE = b"\xff"
+_BREAK = b" " + _LINE + b" "
+_PLAIN_BUT_SPECIAL = frozenset(w.encode() for w in UNITS | NUMBER_WORDS)
 AROUND = r"[\p{P}\p{S}]+"
 CORE = regex.compile(rf"^{AROUND}|{AROUND}$")
 NUMERAL = regex.compile(r"[+-]?\d+(?:[.,:/]\d+)*")
@@ -71,75 +74,115 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LITERAL_WINDOW = np.uint64(1 << 32)
 
 
+class Token(NamedTuple):
+    """What a raw token is."""
+
+    core: str  # without the marks around
+    hash: int  # of the template token, if literal
+    kind: int = LITERAL
+    parts: int = 1  # 0 for marks only, 2 for a number with its unit
+    named: bool = False  # a name, if inside a sentence
+    unit: bool = False  # a unit, if after a number
+    ends: bool = False  # a sentence starts after it
+    glued: str = ""  # the unit that is joined to a number
+
+
+def plain_word(token: bytes) -> bytes | None:
+    """Small letters with a comma or a stop after them, as most tokens are: without the mark. None for all others."""
+    word = token[:-1] if token[-1] in b",." else token
+    if word.isalpha():
+        return word if word.islower() and word not in _PLAIN_BUT_SPECIAL else None
+    if word.isascii():
+        return None
+    text = word.decode()
+    return word if text.isalpha() and text == text.lower() else None
+
+
+def token_of(token: bytes) -> Token:
+    text = token.decode()
+    ends = text == "\n" or text.rstrip("\"')]”’").endswith((".", "!", "?", ":"))
+    core = text.strip(_MARKS)
+    lower = core.lower()
+    # letters with common marks around: no pattern has to be asked
+    if core.isalpha() and lower not in NUMBER_WORDS and (core == lower or core[0].isupper() and core[1:].islower()):
+        named = core != lower and (core.isascii() or bool(NAMED.fullmatch(core)))
+        return Token(core, xxhash.xxh3_64_intdigest(lower.encode()), named=named, unit=lower in UNITS, ends=ends)
+    core, kind, parts, glued = CORE.sub("", text), LITERAL, 1, ""
+    lower = core.lower()
+    numeral = NUMERAL.match(core)
+    rest = core[numeral.end() :] if numeral else ""
+    if not core or core == "\n":
+        parts = 0
+    elif numeral and (not rest or rest.lower() in UNITS) or lower in NUMBER_WORDS:
+        kind = NUMBER
+        if rest or text.rstrip(".,;:!?)").endswith("%"):
+            parts, glued = 2, rest or "%"
+            core = core[: numeral.end()] if numeral else core
+    value = xxhash.xxh3_64_intdigest(lower.encode())
+    return Token(core, value, kind, parts, bool(NAMED.fullmatch(core)), lower in UNITS, ends, glued)
+
+
+class _Numbers(dict):
+    """Numbers raw tokens as they come and keeps the hashes of new ones, what the special ones are, and which are plain and end a sentence."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+        self.special: list[tuple[int, Token]] = []
+        self.ends: list[int] = []
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = found = len(self)
+        word = plain_word(token) if token != _LINE else None
+        if word is None:
+            self.special.append((found, token_of(b"\n" if token == _LINE else token)))
+            self.hashes.append(self.special[-1][1].hash)
+        else:
+            self.hashes.append(xxhash.xxh3_64_intdigest(word))
+            if token.endswith(b"."):
+                self.ends.append(found)
+        return found
+
+
 class Tokens:
     """What each raw token is, by number; filled as tokens come up and emptied when full."""
 
+    COLUMNS = (("hash", np.uint64), ("kind", np.int8), ("parts", np.int64), ("named", bool), ("unit", bool), ("ends", bool))
+
     def __init__(self):
-        size = CACHED_TOKENS
-        self.hash = np.zeros(size, np.uint64)  # of the template token, if literal
-        self.kind = np.zeros(size, np.int8)
-        self.named = np.zeros(size, bool)  # a name, if inside a sentence
-        self.unit = np.zeros(size, bool)  # a unit, if after a number
-        self.ends = np.zeros(size, bool)  # a sentence starts after it
-        self.parts = np.zeros(size, np.int64)  # 0 for punctuation only, 2 for a number with its unit
+        for name, kind in self.COLUMNS:
+            setattr(self, name, np.zeros(CACHED_TOKENS, kind))
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.cores: list[str] = []
+        self.number = _Numbers()
+        self.known = 0
+        self.cores: dict[int, str] = {}
         self.glued: dict[int, str] = {}
 
-    def _grow(self, size: int) -> None:
-        for name in ("hash", "kind", "named", "unit", "ends", "parts"):
-            setattr(self, name, np.resize(getattr(self, name), size))
-
     def of(self, tokens: list[bytes]) -> np.ndarray:
         """Numbers of the tokens of one text; they hold until the next call."""
-        if len(self.cores) + len(tokens) > len(self.hash):
+        if self.known + len(tokens) > len(self.hash):
             self.clear()
             if len(tokens) > len(self.hash):
-                self._grow(len(tokens))
+                for name, _ in self.COLUMNS:
+                    setattr(self, name, np.resize(getattr(self, name), len(tokens)))
         number = self.number
-        for token in set(tokens).difference(number):
-            number[token] = len(self.cores)
-            self._add(token)
-        return np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-
-    def _plain(self, text: str) -> bool:
-        """Most tokens: letters with common marks around, of which no pattern has to be asked."""
-        core = text.strip(_MARKS)
-        lower = core.lower()
-        if not core.isalpha() or lower in NUMBER_WORDS or not (core == lower or core[0].isupper() and core[1:].islower()):
-            return False
-        i = len(self.cores)
-        self.cores.append(core)
-        self.hash[i] = xxhash.xxh3_64_intdigest(lower.encode())
-        self.kind[i], self.parts[i] = LITERAL, 1
-        self.named[i] = core != lower and (core.isascii() or bool(NAMED.fullmatch(core)))
-        self.unit[i] = lower in UNITS
-        self.ends[i] = len(core) < len(text) and text.rstrip("\"')]”’").endswith((".", "!", "?", ":"))
-        return True
-
-    def _add(self, token: bytes) -> None:
-        i, text = len(self.cores), token.decode()
-        if self._plain(text):
-            return
-        core, kind, parts = CORE.sub("", text), LITERAL, 1
-        lower = core.lower()
-        numeral = NUMERAL.match(core)
-        rest = core[numeral.end() :] if numeral else ""
-        if not core or core == "\n":
-            parts = 0
-        elif numeral and (not rest or rest.lower() in UNITS) or lower in NUMBER_WORDS:
-            kind = NUMBER
-            if rest or text.rstrip(".,;:!?)").endswith("%"):
-                parts, self.glued[i] = 2, rest or "%"
-                core = core[: numeral.end()] if numeral else core
-        self.cores.append(core)
-        self.hash[i] = xxhash.xxh3_64_intdigest(lower.encode())
-        self.kind[i], self.parts[i] = kind, parts
-        self.named[i], self.unit[i] = bool(NAMED.fullmatch(core)), lower in UNITS
-        self.ends[i] = text == "\n" or text.rstrip("\"')]”’").endswith((".", "!", "?", ":"))
+        found = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        if number.hashes:
+            new = slice(self.known, len(number))
+            self.hash[new], self.kind[new], self.parts[new] = number.hashes, LITERAL, 1
+            self.named[new] = self.unit[new] = self.ends[new] = False
+            self.ends[number.ends] = True
+            for k, token in number.special:
+                for name, _ in self.COLUMNS[1:]:
+                    getattr(self, name)[k] = getattr(token, name)
+                self.cores[k] = token.core
+                if token.glued:
+                    self.glued[k] = token.glued
+            self.known = len(number)
+            number.hashes, number.special, number.ends = [], [], []
+        return found
 
 
 @lru_cache(maxsize=1)
@@ -152,20 +195,21 @@ class Template:
     """Template tokens of one text: hash and kind of each, and where its value is."""
 
     def __init__(self, text: bytes, tokens: Tokens):
-        raw = TOKEN.findall(text)
-        index = tokens.of(raw)
+        index = tokens.of(text.replace(b"\n", _BREAK).split())
         self.tokens = tokens
         if not len(index):
             self.hashes, self.kinds, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int8), index
             self.words = self.hashes
             return
-        start = np.r_[True, tokens.ends[index[:-1]]]
+        start = np.ones(len(index), bool)
+        start[1:] = tokens.ends[index[:-1]]
         kind = tokens.kind[index]
         kind[tokens.named[index] & ~start & (kind == LITERAL)] = NAME
         parts = tokens.parts[index]
         kept = parts > 0
         kind, index, parts = kind[kept], index[kept], parts[kept]
-        after_number = np.r_[False, (kind[:-1] == NUMBER) & (parts[:-1] == 1)] if len(kind) else np.zeros(0, bool)
+        after_number = np.zeros(len(kind), bool)
+        after_number[1:] = (kind[:-1] == NUMBER) & (parts[:-1] == 1)
         kind[tokens.unit[index] & after_number] = UNIT
         self.index = np.repeat(index, parts)
         self.kinds = np.repeat(kind, parts)
