@@ -115,6 +115,20 @@ def test_substrings(odd, odd_pairs, by_id, window, anchor):
         assert len({k for a, b in spans for k in range(a, b)}) == r.n_removed
 
 
+def test_many_rows_of_one_id(spark):
+    """Null ids and one id with thousands of different texts, each parsed for itself."""
+    rng = random.Random(4)
+    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(70)) for _ in range(40)]
+    rows = []
+    for k in range(6_000):
+        text = base[rng.randrange(40)].split()
+        rows.append((rng.choice([None, None, 5, k]), " ".join(text[rng.randrange(15) :]) + f" end {k % 900}"))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.dedup_substrings(table).collect()
+    want = brute_windows(rows, 50)
+    assert sorted(map(repr, ((r.doc_id, r.text, r.n_words, r.n_removed) for r in got))) == sorted(map(repr, want))
+
+
 def test_factor_reference_holds_the_words(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(10_000)}" for _ in range(400)]

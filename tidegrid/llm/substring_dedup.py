@@ -39,7 +39,7 @@ from tidegrid.session import write_and_read
 MAX_RUN = 64
 CACHED_WORDS = 200_000
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_KEY_BITS = 24
+_RUN_BITS = 8
 
 
 def _inverse(odd: np.uint64) -> np.uint64:
@@ -110,42 +110,32 @@ def blocks_of(hashes: np.ndarray, words: Words, window: int, anchor: int) -> tup
     return lowest[first].view(np.int64), content.view(np.int64), first, lengths
 
 
-def _place(start, n, key):
-    """Start, number of windows and the low bits of the text's hash (rows of one id differ in these) in a long."""
-    return (start << 32) | (n << _KEY_BITS) | key
+def text_key(text: bytes) -> int:
+    """With the id it tells rows apart, also of one id."""
+    return xxhash.xxh64_intdigest(text, 42) - (1 << 63)
 
 
 def blocks(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """``anchor, content, doc_id, place`` of every block."""
+    """``anchor, content, doc_id, key, place`` of every block; ``place`` is its start and number of windows."""
 
     def build():
         words = Words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, counts = [], []
+            found, counts, keys = [], [], []
             for text in encoded(batch, "text"):
                 anchors, content, start, n = blocks_of(words.hashes(text.split()), words, window, anchor)
-                key = xxhash.xxh64_intdigest(text, 42) & ((1 << _KEY_BITS) - 1)
-                found.append((anchors, content, _place(start, n, key)))
+                found.append((anchors, content, start << _RUN_BITS | n))
                 counts.append(len(anchors))
-            ids = np.repeat(batch.column("doc_id").to_numpy(), counts)
+                keys.append(text_key(text))
+            ids, keys = (np.repeat(x, counts) for x in (batch.column("doc_id").to_numpy(), np.array(keys, np.int64)))
             anchors, content, place = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(anchors), pa.array(content), pa.array(ids), pa.array(place)], ["anchor", "content", "doc_id", "place"]
-            )
+            columns = [pa.array(x, pa.int64()) for x in (anchors, content, ids, keys, place)]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "content", "doc_id", "key", "place"])
 
         return step
 
-    return map_texts(docs, build, "anchor long, content long, doc_id long, place long")
-
-
-def _unpacked(rows: DataFrame) -> DataFrame:
-    place = F.col("place")
-    return rows.withColumns({
-        "key": place.bitwiseAND((1 << _KEY_BITS) - 1),
-        "start": F.shiftright(place, 32),
-        "n": F.shiftright(place, _KEY_BITS).bitwiseAND(255),
-    })
+    return map_texts(docs, build, "anchor long, content long, doc_id long, key long, place long")
 
 
 def pack(rows: DataFrame) -> DataFrame:
@@ -156,7 +146,7 @@ def pack(rows: DataFrame) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = encoded(batch, "text")
-            keys = [xxhash.xxh64_intdigest(t, 42) & ((1 << _KEY_BITS) - 1) for t in texts]
+            keys = [text_key(t) for t in texts]
             packed = [packer.compress(t) for t in texts]
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "text"]
@@ -173,7 +163,7 @@ def unpacked_texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _requested_windows(rows: DataFrame, window: int) -> DataFrame:
-    """``h1, h2, doc_id, place`` of the windows of the blocks that each row (doc_id, key, text) lists."""
+    """``h1, h2, doc_id, key, start`` of the windows of the blocks that each row (doc_id, key, text) lists."""
 
     def build():
         words = Words()
@@ -192,12 +182,11 @@ def _requested_windows(rows: DataFrame, window: int) -> DataFrame:
                 counts.append(len(at))
             h1, h2, at = (np.concatenate(x) for x in zip(*out))
             ids, keys = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc_id", "key"))
-            place = (at << _KEY_BITS) | keys
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, place)], ["h1", "h2", "doc_id", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids, keys, at)], ["h1", "h2", "doc_id", "key", "start"])
 
         return step
 
-    return map_texts(rows, build, "h1 long, h2 long, doc_id long, place long")
+    return map_texts(rows, build, "h1 long, h2 long, doc_id long, key long, start long")
 
 
 def dedup_substrings(
@@ -220,9 +209,10 @@ def dedup_substrings(
     mixed = parts.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("mixed"))
     first = parts.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "place")).alias("ref")).join(mixed, "anchor")
     first = write_and_read(first, "first-blocks")
-    held = _unpacked(parts).join(first, ["anchor", "content"])
+    held = parts.join(first, ["anchor", "content"])
     held = write_and_read(held.select(
-        "doc_id", "key", "start", "n", "mixed", F.col("ref.doc_id").alias("ref_doc"), F.shiftright("ref.place", 32).alias("ref_start")
+        "doc_id", "key", F.shiftright("place", _RUN_BITS).alias("start"), F.col("place").bitwiseAND((1 << _RUN_BITS) - 1).alias("n"),
+        "mixed", F.col("ref.doc_id").alias("ref_doc"), F.shiftright("ref.place", _RUN_BITS).alias("ref_start"),
     ), "held-blocks")
     copied = held.where("ref_doc < doc_id").select("doc_id", "key", "start", "n", "ref_doc", "ref_start")
     wanted = held.where("ref_doc = doc_id AND mixed").groupBy("doc_id", "key").agg(
@@ -238,8 +228,7 @@ def dedup_substrings(
     least = least.where("ref_doc != _high").select(*flipped, "ref_doc")
     extended = windows.withColumns({"g1": F.bitwise_not("h1"), "g2": F.bitwise_not("h2")}).join(least, ["g1", "g2"])
     extended = extended.where("ref_doc < doc_id").select(
-        "doc_id", F.col("place").bitwiseAND((1 << _KEY_BITS) - 1).alias("key"), F.shiftright("place", _KEY_BITS).alias("start"),
-        F.lit(1).cast("long").alias("n"), "ref_doc", F.lit(-1).cast("long").alias("ref_start"),
+        "doc_id", "key", "start", F.lit(1).cast("long").alias("n"), "ref_doc", F.lit(-1).cast("long").alias("ref_start"),
     )
     spans = copied.union(extended).groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start"))).alias("spans")
