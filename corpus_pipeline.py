@@ -7,7 +7,7 @@ source, n_chars) of the documents it keeps; columns beside these are not carried
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, decontamination, language_id, line_dedup, simhash
@@ -31,21 +31,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _row() -> Column:
+    """Tells rows apart that differ in any column, also those of one id or without one."""
+    return F.xxhash64(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of several rows of it the first text."""
-    groups = simhash.near_duplicates(docs, shingle=3, max_bits=2)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*COLUMNS)
+    """Of each group of near duplicates the row with the smallest id stays (by the texts' hash among rows of one id).
+
+    Rows of one id or of null ids are documents of their own; equal rows are one.
+    """
+    rows = docs.select(*COLUMNS, _row().alias("_row"))
+    groups = simhash.near_duplicates(rows, shingle=3, max_bits=2, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    # the hash of the text orders rows of one id, as texts are too long to be carried along
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("text"), "_row")
+    own = rows.select("_row", place.alias("place")).join(groups.distinct(), "_row")
+    stay = own.groupBy("component_id").agg(F.min("place").alias("first")).select("first._row")
+    return rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go, each row judged for itself."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = decontamination.contaminations(docs, benchmark)
-    hits = write_and_read(hits.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-hits")
-    return docs.select(*COLUMNS).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(*COLUMNS, _row().alias("_row"))
+    hits = decontamination.contaminations(rows, benchmark, id_col="_row")
+    hits = write_and_read(hits.select(F.col("doc_id").alias("_row")).distinct(), "pipeline-hits")
+    return rows.join(hits, "_row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
