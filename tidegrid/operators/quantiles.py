@@ -1,9 +1,11 @@
-"""Exact quantiles and describe, without bringing a column into one task.
-
-The built-in exact percentile keeps every distinct value of a group in one hash
-map. Here a mergeable sketch first brackets each wanted rank; rows outside the
-bracket are only counted, rows inside it are ranked. The bracket holds a few
-ten-thousandths of the rows.
+"""Exact quantiles and describe by distributed radix selection.
+
+Numbers are longs of the same order (``ordered_key``), taken as four digits of 16 bits.
+A round counts, for all groups and wanted ranks in one aggregate, the next digit of the
+rows whose leading digits are still in question, and each rank moves on to the digit it
+falls on. After four rounds a rank is at one value. No task orders values: a round leaves
+at most 65,536 counts for each group and leading digits, whatever the number of rows and
+of distinct values between two ranks.
 """
 
 from __future__ import annotations
@@ -13,106 +15,78 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20000
-MARGIN = 4 / ACCURACY
+from tidegrid.functions.ordering import ordered_key
+from tidegrid.session import write_and_read
+
+DIGIT = 16
+ROUNDS = 64 // DIGIT
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    few_groups: bool = False,
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*by, probability, value)``; linear interpolation, NULL and NaN skipped.
 
-    ``few_groups`` says that ``by`` has a handful of values by construction (a
-    split, a model name), so that the brackets may be broadcast. Otherwise they
-    are joined by shuffle, where adaptive execution splits hot groups.
+    The input is evaluated once: keys of the values are written to the shared folder, and
+    rounds read these. What a round asks for is a written table too, so its size is known
+    and decides how it is joined to the keys.
     """
     keys = list(by)
-    probs = [float(p) for p in probabilities]
-    data = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    data = data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    low = F.percentile_approx("_v", [max(p - MARGIN, 0.0) for p in probs], ACCURACY)
-    high = F.percentile_approx("_v", [min(p + MARGIN, 1.0) for p in probs], ACCURACY)
-    sketch = data.groupBy(*keys).agg(
-        low.alias("_low"), high.alias("_high"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.count("_v").alias("_n"),
-    )
-    # one row per group and probability: the bracket and the wanted rank (0-based)
-    spread = sketch.select(*keys, "_min", "_max", "_n", F.posexplode(F.arrays_zip("_low", "_high")).alias("_i", "_b"))
-    p = F.element_at(F.array(*[F.lit(x) for x in probs]), F.col("_i") + 1)
-    brackets = spread.select(
-        *keys,
-        F.struct(
-            F.col("_i").alias("i"),
-            p.alias("p"),
-            F.when(p <= MARGIN, F.col("_min")).otherwise(F.col("_b._low")).alias("lo"),
-            F.when(p >= 1 - MARGIN, F.col("_max")).otherwise(F.col("_b._high")).alias("hi"),
-            (p * (F.col("_n") - 1)).alias("rank"),
-        ).alias("_bracket"),
-    )
-    packed = brackets.groupBy(*keys).agg(F.array_sort(F.collect_list("_bracket")).alias("_brackets"))
-    joined = _with_groups(data, F.broadcast(packed) if few_groups and keys else packed, keys)
-
-    # count what lies below and remember the nearest neighbours outside the bracket
-    indexes = range(len(probs))
-    sums = []
-    for i in indexes:
-        b = F.get("_brackets", F.lit(i))
-        sums += [
-            F.count_if(F.col("_v") < b["lo"]).alias(f"_below{i}"),
-            F.max(F.when(F.col("_v") < b["lo"], F.col("_v"))).alias(f"_left{i}"),
-            F.min(F.when(F.col("_v") > b["hi"], F.col("_v"))).alias(f"_right{i}"),
-        ]
-    outside = joined.groupBy(*keys).agg(*sums)
-    outside = outside.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.col(f"_below{i}").alias("_below"),
-                 F.col(f"_left{i}").alias("_left"), F.col(f"_right{i}").alias("_right"))
-        for i in indexes
-    ])).alias("_o")).select(*keys, "_o.*")
-
-    # rank the distinct values inside each bracket
-    hits = []
-    for i in indexes:
-        b = F.get("_brackets", F.lit(i))
-        hits.append(F.when((F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]), b))
-    inside = (
-        joined.select(*keys, "_v", F.explode(F.array(*hits)).alias("_b"))
-        .where(F.col("_b").isNotNull())
-        .groupBy(*keys, F.col("_b.i").alias("_i"), "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_end", F.sum("_c").over(upto))
-    ranked = _join_on(ranked, outside, [*keys, "_i"])
-    targets = brackets.select(*keys, F.col("_bracket.i").alias("_i"), F.col("_bracket.p").alias("probability"),
-                              F.col("_bracket.rank").alias("_rank"))
-    ranked = _join_on(ranked, targets, [*keys, "_i"])
-    start = F.col("_below") + F.col("_end") - F.col("_c")
-    stop = F.col("_below") + F.col("_end")
-
-    def at(rank):
-        return F.max(F.when((start <= rank) & (rank < stop), F.col("_v")))
-
-    below, above = F.floor("_rank"), F.ceil("_rank")
-    found = ranked.groupBy(*keys, "_i", "probability", "_rank", "_below", "_left", "_right").agg(
-        at(below).alias("_a"), at(above).alias("_z"), F.max(stop).alias("_stop")
-    )
-    first = F.when(below == F.col("_below") - 1, F.col("_left")).otherwise(F.col("_a"))
-    second = F.when(above == F.col("_stop"), F.col("_right")).otherwise(F.col("_z"))
-    weight = F.col("_rank") - F.floor("_rank")
-    exact = F.when(first == second, first).otherwise(first + (second - first) * weight)
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    return found.select(
-        *keys, "probability",
-        F.when(first.isNotNull() & second.isNotNull(), exact).otherwise(missed).alias("value"),
+    probs = sorted({float(p) for p in probabilities})
+    if not probs:
+        raise ValueError("no probabilities")
+    groups = [F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]
+    names = [f"_g{i}" for i in range(len(keys))]
+    number = df.select(*groups, F.col(value).cast("double").alias("_v"))
+    rows = write_and_read(number.select(*names, ordered_key(F.col("_v")).alias("_key")).where("_key IS NOT NULL"), "keys")
+
+    asked = None
+    for step in range(ROUNDS):
+        shift = 64 - DIGIT * (step + 1)
+        prefix = F.shiftright("_key", min(shift + DIGIT, 63)) if step else F.lit(0).cast("long")
+        place = F.shiftright("_key", shift)
+        here = rows.select(*names, prefix.alias("_prefix"), place.alias("_place"))
+        if step:
+            here = _join_on(here, asked.select(*names, "_prefix").distinct(), [*names, "_prefix"])
+        counts = here.groupBy(*names, "_prefix", "_place").agg(F.count(F.lit(1)).alias("_n"))
+        if not step:
+            counts = write_and_read(counts, "digits")
+            asked = _ranks(counts, names, probs)
+        along = Window.partitionBy(*names, "_prefix").orderBy("_place")
+        before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        spans = counts.withColumn("_before", before)
+        found = _join_on(asked, spans, [*names, "_prefix"]).where("_before <= _need AND _need < _before + _n")
+        found = found.select(*names, "_p", "_upper", "_rank", F.col("_place").alias("_prefix"), (F.col("_need") - F.col("_before")).alias("_need"))
+        asked = write_and_read(found, f"ranks-{step}")
+
+    at = _value_of(F.col("_prefix"))
+    ends = asked.groupBy(*names, "_p", "_rank").agg(
+        F.max(F.when(~F.col("_upper"), at)).alias("_a"), F.max(F.when(F.col("_upper"), at)).alias("_z")
     )
+    between = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
+    exact = F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(between)
+    return ends.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_p").alias("probability"), exact.alias("value"))
+
 
+def _ranks(counts: DataFrame, names: list[str], probs: list[float]) -> DataFrame:
+    """For each group and probability the rows below and above the wanted rank, counted from 0."""
+    totals = counts.groupBy(*names).agg(F.sum("_n").alias("_total"))
+    spread = totals.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in probs])))
+    spread = spread.withColumn("_rank", F.col("_p") * (F.col("_total") - 1))
+    spread = spread.withColumn("_upper", F.explode(F.array(F.lit(False), F.lit(True))))
+    need = F.when(F.col("_upper"), F.ceil("_rank")).otherwise(F.floor("_rank"))
+    return spread.select(*names, "_p", "_upper", "_rank", F.lit(0).cast("long").alias("_prefix"), need.alias("_need"))
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = (), few_groups: bool = False) -> DataFrame:
+
+def _value_of(key):
+    """The double of an ordered key."""
+    bits = F.abs(key)
+    exponent, fraction = F.shiftright(bits, 52), bits.bitwiseAND((1 << 52) - 1).cast("double")
+    power = F.pow(F.lit(2.0), (F.greatest(exponent, F.lit(1)) - 1023).cast("double"))
+    whole = F.when(exponent > 0, 1.0).otherwise(0.0) + fraction * F.lit(2.0**-52)
+    size = F.when(exponent == 2047, F.lit(float("inf"))).otherwise(whole * power)
+    return F.when(key < 0, -size).otherwise(size)
+
+
+def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, sample std, min, quartiles, max; one row per group."""
     keys = list(by)
     number = F.col(value).cast("double")
@@ -121,7 +95,7 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = (), few_groups: bool
         F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
         F.min("_v").alias("min"), F.max("_v").alias("max"),
     )
-    quarters = quantiles(clean, "_v", [0.25, 0.5, 0.75], keys, few_groups).groupBy(*keys).agg(
+    quarters = quantiles(clean, "_v", [0.25, 0.5, 0.75], keys).groupBy(*keys).agg(
         *[F.max(F.when(F.col("probability") == q, F.col("value"))).alias(n)
           for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
     )
@@ -142,9 +116,3 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
         one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         match = one if match is None else match & one
     return left.join(renamed, match, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def _with_groups(data: DataFrame, packed: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return data.withColumn("_brackets", packed.scalar())
-    return _join_on(data, packed, keys)
