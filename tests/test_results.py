@@ -224,6 +224,21 @@ def test_trees_learn_save_and_reload(spark, learning_rows, tmp_path):
     assert ranked[0].feature == "a" and abs(sum(r.importance for r in ranked) - 1) < 1e-9
 
 
+def test_boosting_stops_with_patience_and_equals_a_whole_fit(spark, learning_rows):
+    noisy = learning_rows.withColumn("target", F.col("target") + F.randn(3) * 4)
+    rows = trees.assemble(noisy.drop("features"), ["a", "b"]).cache()
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    long = trees.TreeSettings(**{**TINY.__dict__, "rounds": 40})
+    model, train_losses, losses = trees.fit_with_patience(train, test, "target", long, segment=3)
+    kept = trees.rounds_to_keep(losses, long.patience)
+    assert model.getNumTrees == kept and len(losses) == min(kept + long.patience, 40) < 40
+    assert all(b <= a for a, b in zip(train_losses, train_losses[1:]))
+    whole = trees.fit_trees(train, "target", trees.TreeSettings(**{**TINY.__dict__, "rounds": kept}))
+    assert trees.round_losses(whole, test, "target") == pytest.approx(losses[:kept])
+    mine, its = (trees.score(m, test).orderBy("ts").select("predicted").collect() for m in (model, whole))
+    assert [r.predicted for r in mine] == pytest.approx([r.predicted for r in its])
+
+
 def test_grid_search_prefers_the_better_setting(spark, learning_rows):
     rows = trees.assemble(learning_rows, ["a", "b"]).where("split = 'train'")
     found = tuning.grid_search(rows, "target", ["ts"], rounds=(1, 6), depths=(3,), folds=2, repeats=2, settings=TINY)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions.hashing import arithmetic_hash
-from tidegrid.models import combine, trees, tuning
-from tidegrid.operators import augment, lookback, metrics, scaling
+from tidegrid.models import combine, trees, tuning, windows
+from tidegrid.operators import augment, metrics, scaling
 from tidegrid.operators.selecting import top
 from tidegrid.operators.splitting import split_at_date, split_tail
 from tidegrid.plans.features import model_table
@@ -63,13 +63,9 @@ def i01(spark, folder):
 @query("i02_stack")
 def i02(spark, folder):
     rows = _rows(spark, folder)
-    features = ["demand_lag_1h", "temp_lag_1h", "hour_sin", "hour_cos"]
-    windows = lookback.lookback(rows, HOURLY, features, 24)
-    points = lookback.point_features(rows, HOURLY, features, 24).select(*KEYS, "point")
-    both = write_and_read(windows.join(points, KEYS).select(*KEYS, "split", "target", "sequence", "point"), "windows")
-    train = both.where("split = 'train'")
-    embedding = combine.fit_window_embedding(train, size=8)
-    stacked = combine.stack_features(embedding, both)
+    embedding = windows.fit_window_components(rows.where("split = 'train'"), HOURLY, INPUTS, 24)
+    scored = windows.window_scores(rows, HOURLY, INPUTS, embedding, [*KEYS, "split", "target"])
+    stacked = write_and_read(scored, "windows")
     model = trees.fit_trees(stacked.where("split = 'train'"), "target", SMALL)
     return metrics.evaluate(_scored(model, stacked), by=["split"])
 
