@@ -210,3 +210,30 @@ def test_blocks_never_change_results_of_series_with_gaps(spark):
         for timeline in (hours, hours.at(complete=True)):
             for found in (lookback.lookback(df, timeline, ["demand"], 12), lookback.point_features(df, timeline, ["demand"], 12)):
                 assert windows.exceptAll(found.select("series", "ts")).isEmpty() and found.count() == windows.count()
+
+
+def test_rows_without_a_time_come_last(spark):
+    """They keep their place in the table and see the rows before them, as a sort with missing times last would do."""
+    rows = [("s", None if k % 10 == 7 else k, float(k)) for k in range(100)]
+    table = spark.createDataFrame(rows, "series string, k int, x double").repartition(4)
+    table = table.selectExpr("series", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, k) AS ts", "x")
+    timed = [x for _, k, x in rows if k is not None]
+    for block in (8, 4096):
+        got = over_past(table, HOURS.at(block=block), 5, lambda w: {"before": F.lag("x", 5).over(w), "n": F.count("x").over(w.rowsBetween(-5, -1))}).collect()
+        assert len(got) == 100
+        want = {x: (timed[i - 5] if i >= 5 else None) for i, x in enumerate(timed)}
+        assert {r.x: r.before for r in got if r.ts is not None} == want
+        assert all(r.n == 5 for r in got if r.ts is None)
+        numbered = number_in_series(table, HOURS.at(block=block), name="p", total="n").collect()
+        assert sorted(r.p for r in numbered) == list(range(1, 101))
+        assert {r.p for r in numbered if r.ts is None} == set(range(91, 101))
+
+
+@pytest.mark.parametrize("rows, message", [([*range(5), *range(10, 60)], "gap"), ([*range(30), 29], "gap"), ([*range(9), None], "time")])
+@pytest.mark.parametrize("block", [10, 4096])
+def test_a_false_promise_of_a_complete_series_raises(spark, rows, message, block):
+    table = spark.createDataFrame([("s", k) for k in rows], "series string, k int")
+    table = table.selectExpr("series", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, k) AS ts", "k")
+    with pytest.raises(Exception, match=message):
+        over_past(table, HOURS.at(complete=True, block=block), 24, lambda w: {"lag": F.lag("k", 24).over(w)}).collect()
+    assert over_past(table, HOURS.at(block=block), 24, lambda w: {"lag": F.lag("k", 24).over(w)}).count() == len(rows)

@@ -16,6 +16,8 @@ from tidegrid.functions.hashing import hash_bucket
 from tidegrid.timeline import Timeline, slot_of
 
 _BUCKET = "_bucket"
+#: Buckets of rows without a time: beyond all blocks of the time axis.
+_UNTIMED = 1 << 61
 
 
 def number_rows(
@@ -26,7 +28,7 @@ def number_rows(
     name: str = "position",
     total: str | None = None,
 ) -> DataFrame:
-    """1-based number per ``keys`` in the order of (bucket, order).
+    """1-based number per ``keys`` in the order of (bucket, order); NULL keys are a group of their own.
 
     ``bucket`` must not decrease along the wanted order, and ``order`` must be
     unique inside a bucket. ``total`` adds the row count of the group.
@@ -62,10 +64,15 @@ def number_in_series(
 ) -> DataFrame:
     """Number the rows of each series by time; gaps do not count.
 
-    Times must be unique within a series (and ``within``), at ``step`` or coarser.
+    Times must be unique within a series (and ``within``), at ``step`` or coarser. Rows
+    without a time come last, in the order of a hash of their columns, which also deals
+    them out over buckets.
     """
     block = F.expr(f"floor({slot_of(f'`{timeline.time}`', timeline.step)} / {timeline.block})")
-    return number_rows(df, [*timeline.series, *within], block, [timeline.time], name, total)
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    untimed = F.when(F.col(timeline.time).isNull(), F.xxhash64(*plain))
+    last = F.lit(_UNTIMED) + F.shiftright(untimed, 48)
+    return number_rows(df, [*timeline.series, *within], F.coalesce(block, last), [timeline.time, untimed], name, total)
 
 
 def number_by_hash(

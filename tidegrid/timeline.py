@@ -13,10 +13,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
 
 _OWN = "_own_block"
 _BLOCK = "_block"
 _POSITION = "_position"
+_FOLLOWS = "_follows"
 
 
 @dataclass(frozen=True)
@@ -25,9 +27,10 @@ class Timeline:
 
     ``step`` is the spacing in seconds. Frames count rows. ``complete`` says that
     no series has a gap (``operators.grid.fill_grid``), so that the slot number
-    derived from the time is also the row number; ``position`` names a dense row
-    number (``operators.numbering.number_in_series``). With neither, rows are
-    numbered where windows need it. ``block`` is the number of rows one window
+    derived from the time is also the row number, and windows raise where a row
+    has no time or does not follow the row before it by one step; ``position``
+    names a dense row number (``operators.numbering.number_in_series``). With
+    neither, rows are numbered where windows need it, those without a time last. ``block`` is the number of rows one window
     task owns; it never changes a result.
     """
 
@@ -97,12 +100,21 @@ def over_past(
         numbered = number_in_series(df, timeline, within, _POSITION)
         return over_past(numbered, timeline.at(position=_POSITION), reach, build, within).drop(_POSITION)
     slot = timeline.slot()
+    declared = timeline.position is None
+    if declared:
+        reach = max(reach, 1)  # the row before is needed to see that it is there
+        slot = f"coalesce({slot}, CAST(raise_error('a complete series has a row without a time') AS BIGINT))"
     own = f"floor({slot} / {timeline.block})"
     last = f"floor(({slot} + {reach}) / {timeline.block})"
     order = timeline.position or timeline.time
     spread = df.selectExpr("*", f"{own} AS {_OWN}", f"explode(sequence({own}, {last})) AS {_BLOCK}")
     window = Window.partitionBy(*timeline.series, *within, _BLOCK).orderBy(order)
     built = build(window)
+    if declared:
+        step = F.expr(timeline.slot()) - F.lag(F.expr(timeline.slot()), 1).over(window)
+        gap = F.raise_error(F.lit("a series that is declared complete has a gap or a time twice")).cast("boolean")
+        built = {**built, _FOLLOWS: F.when(F.coalesce(step, F.lit(1)) == 1, True).otherwise(gap)}
     kept = [f"`{c}`" for c in df.columns if c not in built]
     wide = spread.select(*kept, _OWN, _BLOCK, *[column.alias(name) for name, column in built.items()])
-    return wide.where(f"{_OWN} = {_BLOCK}").drop(_OWN, _BLOCK)
+    own_rows = f"{_OWN} = {_BLOCK}" + (f" AND {_FOLLOWS}" if declared else "")
+    return wide.where(own_rows).drop(_OWN, _BLOCK, _FOLLOWS)
