@@ -5,11 +5,12 @@ hash; windows next to each other with one lead are a block. Equal windows have e
 leads, so the suffixes of a text that matter are those that start at a lead, and only
 where the lead's bytes stand in two places.
 
-1. Suffixes are range-partitioned by (the hash of) their lead with sampled splitters and
-   sorted. A suffix whose lead is its neighbours' goes on, and so do the first and last of
-   a partition, whose other neighbour isn't seen. All others hold no repeat.
+1. Suffixes are dealt out by a hash of their lead and sorted. A suffix whose lead stands
+   elsewhere goes on; all others hold no repeat. Leads that a batch of rows holds twice are
+   known to go on, so but one of them are dealt out at random and no lead makes a large
+   partition.
 2. The blocks around the suffixes left are cut out of the texts, range-partitioned by the
-   lead's bytes, with sampled splitters again, and sorted. A task takes them in buckets of
+   lead's bytes, with sampled splitters, and sorted. A task takes them in buckets of
    whole leads. In a bucket equal blocks are one; the windows of different blocks are
    suffixes again and sorted by multikey quicksort on characters of eight bytes, which
    stops where a segment has one suffix left. Segments that come to the window's end are
@@ -115,21 +116,30 @@ def text_key(text: bytes) -> int:
 
 
 def _suffixes(rows: DataFrame, window: int, lead: int) -> DataFrame:
-    """``lead, doc_id, key, place`` of every block; ``place`` is its start and number of windows."""
+    """``lead, doc_id, key, place`` of every block; ``place`` is its start and number of windows, negative where it goes on for sure.
+
+    Leads are 48 bits of the hash: two that clash only let a suffix go on for nothing.
+    """
 
     def build():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            leads, places, keys, counts = [], [], [], []
+            leads, places, keys, counts, twice = [], [], [], [], []
             for text in encoded(batch, "text"):
                 found, start, n, inside = blocks_of(text, window, lead)
-                # a block that may repeat itself comes twice, as one of two places
-                times = 1 + inside
-                leads.append(np.repeat(found, times))
-                places.append(np.repeat(start << _PLACE_BITS | n, times))
+                leads.append(found)
+                places.append(start << _PLACE_BITS | n)
+                twice.append(inside)
                 keys.append(text_key(text))
-                counts.append(times.sum())
-            ids = np.repeat(batch.column("doc_id").to_numpy(), counts)
-            columns = [np.concatenate(leads).view(np.int64), ids, np.repeat(np.array(keys, np.int64), counts), np.concatenate(places)]
+                counts.append(len(found))
+            ids, keys = (np.repeat(x, counts) for x in (batch.column("doc_id").to_numpy(), np.array(keys, np.int64)))
+            leads, places = np.concatenate(leads), np.concatenate(places)
+            _, first, place, times = np.unique(leads, return_index=True, return_inverse=True, return_counts=True)
+            known = (times[place] > 1) | np.concatenate(twice)
+            rest = known.copy()
+            rest[first] = False
+            leads[rest] = _mixed(keys[rest].view(np.uint64) + places[rest].astype(np.uint64))
+            leads = (leads >> np.uint64(16)).astype(np.int64)
+            columns = [leads, ids, keys, np.where(known, ~places, places)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["lead", "doc_id", "key", "place"])
 
         return step
@@ -138,10 +148,16 @@ def _suffixes(rows: DataFrame, window: int, lead: int) -> DataFrame:
 
 
 def _repeated(suffixes: DataFrame) -> DataFrame:
-    """Of sorted partitions the suffixes whose lead may stand elsewhere."""
+    """Of partitions sorted by lead the suffixes whose lead stands elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, edge = None, True
+        def kept(rows: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+            place = rows.column("place").to_numpy()
+            keep = pa.array(keep | (place < 0))
+            columns = [rows.column("doc_id"), rows.column("key"), pa.array(np.where(place < 0, ~place, place))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "place"]).filter(keep)
+
+        last, edge = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -150,11 +166,10 @@ def _repeated(suffixes: DataFrame) -> DataFrame:
             leads = batch.column("lead").to_numpy()
             same = np.r_[edge, leads[1:] == leads[:-1]]
             # the last row waits for the next batch, with the answer of the row before it
-            keep = same[:-1] | same[1:]
-            yield batch.slice(0, len(leads) - 1).filter(pa.array(keep)).drop_columns("lead")
+            yield kept(batch.slice(0, len(leads) - 1), same[:-1] | same[1:])
             last, edge = batch.slice(len(leads) - 1), bool(same[-1])
         if last is not None:
-            yield last.drop_columns("lead")
+            yield kept(last, np.array([edge]))
 
     return suffixes.mapInArrow(run, "doc_id long, key long, place long")
 
@@ -163,7 +178,7 @@ def pack(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``key``, compressed ``text`` (half of what a shuffle would move) and the number of equal rows in a row."""
 
     def build():
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=5)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             copies: dict[tuple[int, int], int] = {}
@@ -304,17 +319,21 @@ class Bucket:
         return spans, left
 
 
-FOUND = "k1 long, k2 long, doc_id long, key long, start long, n long"
+FOUND = "k1 long, k2 long, doc_id long, key long, place long"
 
 
 def _solved(blocks: DataFrame, window: int, bucket_bytes: int) -> DataFrame:
-    """Of sorted partitions the spans, under their row's id and key, and windows that wait (``n`` null), under their digest."""
+    """Of sorted partitions the spans, under their row's id and key, and windows that wait (negative), under their digest.
+
+    ``place`` is the start and the number of windows.
+    """
 
     def out(bucket: Bucket, going_on: set[bytes]) -> pa.RecordBatch:
         spans, left = bucket.solve(going_on)
-        rows = [(doc, key, doc, key, start, n) for doc, key, start, n in spans] + [(*w, None) for w in left]
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "doc_id", "key", "start", "n"])
+        rows = [(doc, key, doc, key, start << _PLACE_BITS | n) for doc, key, start, n in spans]
+        rows += [(*w[:4], ~(w[4] << _PLACE_BITS | 1)) for w in left]
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "doc_id", "key", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, going_on, last = Bucket(window), set(), None
@@ -348,8 +367,7 @@ def dedup_bytes(
     if not 1 <= lead <= window:
         raise ValueError("a lead is a part of a window")
     rows = ids_and_texts(docs, id_col, text_col)
-    dealt = _suffixes(rows, window, lead).repartitionByRange("lead", "doc_id", "key")
-    left = _repeated(dealt.sortWithinPartitions("lead"))
+    left = _repeated(_suffixes(rows, window, lead).repartition("lead").sortWithinPartitions("lead"))
     wanted = left.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     # one exchange of the packed texts for both joins
     texts = pack(rows).repartition("doc_id", "key")
@@ -358,8 +376,9 @@ def dedup_bytes(
     found = _solved(blocks, window, bucket_bytes)
     # spans are alone under their row, windows meet those of other buckets under their digest
     lowest = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
-    found = found.withColumn("_lowest", lowest).where("n IS NOT NULL OR doc_id > _lowest")
-    spans = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", F.coalesce("n", F.lit(1)).alias("n"))).alias("found"))
+    found = found.withColumn("_lowest", lowest).where("place >= 0 OR doc_id > _lowest")
+    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
+    spans = found.groupBy("doc_id", "key").agg(F.collect_list(place).alias("found"))
     done = _kept(texts.join(spans, ["doc_id", "key"], "left"), window)
     return done.select(id_out(), "kept", "n_bytes", "n_removed", "spans")
 
@@ -375,7 +394,8 @@ def _kept(rows: DataFrame, window: int) -> DataFrame:
                 sizes.append(len(text))
                 own: list[tuple[int, int]] = []
                 if found.is_valid:
-                    start, n = (f.to_numpy() for f in found.values.flatten())
+                    place = found.values.to_numpy()
+                    start, n = place >> _PLACE_BITS, place & ((1 << _PLACE_BITS) - 1)
                     edge = np.zeros(len(text) + 1, np.int64)
                     np.add.at(edge, start, 1)
                     np.add.at(edge, start + n + window - 1, -1)
