@@ -203,7 +203,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _cut_blocks(rows: DataFrame, window: int, lead: int) -> DataFrame:
-    """``lead`` (its bytes), ``doc_id, key, start`` and ``block`` of the places that each text lists."""
+    """``doc_id, key, start``, ``block`` and where its lead is in it, of the places that each text lists."""
 
     def build():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -214,20 +214,20 @@ def _cut_blocks(rows: DataFrame, window: int, lead: int) -> DataFrame:
                 for place in places.tolist():
                     start, n = place >> _PLACE_BITS, place & ((1 << _PLACE_BITS) - 1)
                     at = start + int(grams[start : start + window - lead + 1].argmin())
-                    leads.append(text[at : at + lead])
+                    leads.append(at - start)
                     blocks.append(text[start : start + n + window - 1])
                 starts.append(places >> _PLACE_BITS)
                 counts.append(len(places))
             ids, keys = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("doc_id", "key"))
             starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(leads, pa.binary()), pa.array(ids), pa.array(keys), pa.array(starts), pa.array(blocks, pa.binary())],
-                ["lead", "doc_id", "key", "start", "block"],
+                [pa.array(leads, pa.int32()), pa.array(ids), pa.array(keys), pa.array(starts), pa.array(blocks, pa.binary())],
+                ["lead_at", "doc_id", "key", "start", "block"],
             )
 
         return step
 
-    return map_texts(rows, build, "lead binary, doc_id long, key long, start long, block binary")
+    return map_texts(rows, build, "lead_at int, doc_id long, key long, start long, block binary")
 
 
 def _places(block: bytes, lead: bytes) -> np.ndarray:
@@ -322,7 +322,7 @@ class Bucket:
 FOUND = "k1 long, k2 long, doc_id long, key long, place long"
 
 
-def _solved(blocks: DataFrame, window: int, bucket_bytes: int) -> DataFrame:
+def _solved(blocks: DataFrame, window: int, lead: int, bucket_bytes: int) -> DataFrame:
     """Of sorted partitions the spans, under their row's id and key, and windows that wait (negative), under their digest.
 
     ``place`` is the start and the number of windows.
@@ -338,7 +338,8 @@ def _solved(blocks: DataFrame, window: int, bucket_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, going_on, last = Bucket(window), set(), None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, *place, block in zip(*(c.to_pylist() for c in batch.columns)):
+                row = (block[at : at + lead], *place, block)
                 if last is None:
                     going_on.add(row[0])  # the first lead may have begun in another partition
                 # a row of the table stays whole, so that its own repeats meet in one bucket
@@ -353,7 +354,7 @@ def _solved(blocks: DataFrame, window: int, bucket_bytes: int) -> DataFrame:
             going_on.add(last[0])
             yield out(bucket, going_on)
 
-    return blocks.select("lead", "doc_id", "key", "start", "block").mapInArrow(run, FOUND)
+    return blocks.mapInArrow(run, FOUND)
 
 
 def dedup_bytes(
@@ -372,8 +373,10 @@ def dedup_bytes(
     # one exchange of the packed texts for both joins
     texts = pack(rows).repartition("doc_id", "key")
     cut = _cut_blocks(texts.join(wanted, ["doc_id", "key"]), window, lead)
-    blocks = cut.repartitionByRange("lead", "doc_id", "key").sortWithinPartitions("lead", "doc_id", "key", "start")
-    found = _solved(blocks, window, bucket_bytes)
+    # the lead's bytes are part of the block and not carried beside it
+    order = [F.expr(f"substring(block, lead_at + 1, {int(lead)})"), F.col("doc_id"), F.col("key")]
+    blocks = cut.repartitionByRange(*order).sortWithinPartitions(*order, "start")
+    found = _solved(blocks, window, lead, bucket_bytes)
     # spans are alone under their row, windows meet those of other buckets under their digest
     lowest = F.min("doc_id").over(Window.partitionBy("k1", "k2"))
     found = found.withColumn("_lowest", lowest).where("place >= 0 OR doc_id > _lowest")
