@@ -27,6 +27,37 @@ def test_cuckoo_filter(expected):
     assert all((layer == 0).all() for layer in held.layers) and held.held == [0] * len(held.layers)
 
 
+def test_filter_that_began_small():
+    """A few keys, then many: few layers, few false positives; then one key at a time."""
+    held, few, many, others = CuckooFilter(), keys(10, 1), keys(100_000, 2), keys(50_000, 3)
+    held.add(*few)
+    held.add(*many)
+    assert len(held.layers) <= 4 and held.contains(*few).all() and held.contains(*many).all()
+    assert held.contains(*others).mean() < 0.002
+    single, one = CuckooFilter(), keys(3_000, 4)
+    for k in range(3_000):
+        single.add(one[0][k : k + 1], one[1][k : k + 1])
+    assert len(single.layers) <= 14 and single.contains(*one).all()
+
+
+def test_removal_across_layers_of_different_size():
+    """Many keys of few marks and buckets, so that layers hold marks that other keys could have left."""
+    rng = np.random.default_rng(5)
+    pool = rng.permutation(1 << 16)
+    k1, k2 = (pool % 512).astype(np.int64) << 20, ((pool // 512).astype(np.int64) + 1) << 48
+    held, live = CuckooFilter(), np.zeros(len(pool), dtype=bool)
+    for turn in range(30):
+        idle, busy = np.flatnonzero(~live), np.flatnonzero(live)
+        new = rng.choice(idle, int(rng.integers(1, 1500)), replace=False)
+        held.add(k1[new], k2[new])
+        live[new] = True
+        old = rng.choice(busy, len(busy) // 3, replace=False)
+        held.remove(k1[old], k2[old])
+        live[old] = False
+        assert held.contains(k1[live], k2[live]).all()
+        assert sum(held.held) == live.sum()
+
+
 def key(line):
     stripped = line.strip(BLANKS)
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in stripped) if len(stripped) >= 10 else None
@@ -73,6 +104,47 @@ def test_insert_delete_and_insert_again(spark, odd, odd_pairs, by_id):
     assert by_id(index.dedup(odd).collect()) == by_id(brute(odd_pairs))
 
 
+@pytest.mark.parametrize("dies", ["counts", "filters", "mark"])
+def test_changes_that_die_half_way_can_be_repeated(spark, odd, odd_pairs, by_id, monkeypatch, dies):
+    index = LineIndex.create(spark, scratch_path(spark, "t"), 100)
+    index.insert(odd.where("doc_id < 112 OR doc_id IS NULL"))
+    before = by_id(index.counts().collect())
+    write, mark = LineIndex._write, LineIndex._mark
+
+    def broken_write(self, gen, **tables):
+        if dies in tables:
+            raise OSError("lost")
+        write(self, gen, **tables)
+
+    def broken_mark(self, gen):
+        raise OSError("lost")
+
+    def dying(change):
+        with monkeypatch.context() as patch:
+            patch.setattr(LineIndex, "_mark" if dies == "mark" else "_write", broken_mark if dies == "mark" else broken_write)
+            with pytest.raises(OSError):
+                change()
+
+    dying(lambda: index.insert(odd.where("doc_id >= 112")))
+    assert by_id(index.counts().collect()) == before
+    # another change than the one that died takes its place
+    dying(lambda: index.delete(odd.where("doc_id = 5").select("doc_id")))
+    assert by_id(index.counts().collect()) == before
+    index.insert(odd.where("doc_id >= 112"))
+    assert by_id(index.dedup(odd).collect()) == by_id(brute(odd_pairs))
+
+
+def test_an_id_inserted_again_is_one_document(spark, by_id):
+    index = LineIndex.create(spark, scratch_path(spark, "t"), 10)
+    rows = [(1, "one shared line here\nonly in the first"), (1, "one shared line here"), (2, "another line of two")]
+    for row in rows:
+        index.insert(spark.createDataFrame([row], "doc_id long, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(index.dedup(docs).collect()) == by_id(brute(rows))
+    index.delete(spark.createDataFrame([(1,)], "doc_id long"))
+    assert [r.refs for r in index.counts().collect()] == [1]
+
+
 def test_filters_follow_the_exact_table(spark, odd):
     index = LineIndex.create(spark, scratch_path(spark, "t"), 100)
     index.insert(odd)

@@ -3,8 +3,12 @@
 Buckets have four slots of 16-bit fingerprints, 0 being empty. A key is two 64-bit
 hashes. Keys that find no place after ``ROUNDS`` rounds go to a further layer
 beside the first, so insertion never fails and membership has no false negatives.
-Layers have one size: keys that share mark and buckets in one share them in all and
-can stand for each other, so removing a key that was added loses no other.
+Each layer has twice the buckets of the one before, or as many as the keys at hand
+need, so a filter that began with a few keys keeps few layers. Bucket numbers are the
+low bits of the same numbers in every layer: keys that share mark and buckets in one
+layer share them in all smaller ones. Removal looks at the largest layer first, so a
+mark taken from another key leaves that key an equal mark in a smaller layer, and
+removing a key that was added loses no other.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ class CuckooFilter:
 
     def _grow(self, expected: int) -> None:
         buckets = 1 << max(4, int(np.ceil(np.log2(max(1, expected) / (SLOTS * LOAD)))))
-        buckets = len(self.layers[0]) if self.layers else buckets
+        buckets = max(buckets, 2 * len(self.layers[-1])) if self.layers else buckets
         self.layers.append(np.zeros((buckets, SLOTS), dtype=np.uint16))
         self.held.append(0)
 
@@ -105,7 +109,8 @@ class CuckooFilter:
     def remove(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Keys that have been added, each once."""
         mark = self._marks(k2)
-        for number, layer in enumerate(self.layers):
+        for number in reversed(range(len(self.layers))):
+            layer = self.layers[number]
             flat = layer.reshape(-1)
             while len(k1):
                 one, two = self._places(layer, k1, mark)

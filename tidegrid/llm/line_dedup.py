@@ -9,7 +9,12 @@ change as one more generation of Parquet tables below ``path``:
   its smallest and largest document; the latest row of a key holds,
 * ``filters``: per shard of keys one cuckoo filter of the keys with references
   (``seen``) and one of those in two documents at least (``repeated``),
-* ``deleted``: documents taken out.
+* ``deleted``: documents taken out,
+* ``done``: a mark for each generation, written when its other tables are whole.
+
+Only marked generations are read. A change that dies half way leaves the index as it
+was; the next change, or the same one again, writes over what it left. One change
+at a time: two writers of one index would take the same generation.
 
 Inserting asks ``seen`` first: keys it doesn't know are new, only the others are
 looked up in the exact table. Dedup asks ``repeated`` first: lines it doesn't know
@@ -113,6 +118,7 @@ class LineIndex:
         text = json.dumps({"shards": shards, "min_chars": min_chars})
         spark.range(1, numPartitions=1).select(F.lit(text).alias("value")).write.text(f"{path}/settings")
         made._write(0, postings=[], counts=[], filters=[], deleted=[])
+        made._mark(0)
         return made
 
     @classmethod
@@ -128,28 +134,32 @@ class LineIndex:
         schemas = {"postings": POSTINGS, "counts": COUNTS, "filters": FILTERS, "deleted": "doc_id long"}
         for name, rows in tables.items():
             rows = self.spark.createDataFrame([], schemas[name]) if isinstance(rows, list) else rows
-            rows.write.parquet(f"{self.path}/{name}/gen={gen}")
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}/gen={gen}")
+
+    def _mark(self, gen: int) -> None:
+        """The generation is whole; from here on it is read."""
+        self.spark.range(gen, gen + 1, numPartitions=1).write.mode("overwrite").parquet(f"{self.path}/done/number={gen}")
 
     def _last(self) -> int:
-        """The number of the last complete generation; filters are written last."""
-        files = self._read("filters", FILTERS).inputFiles()
-        return max(int(f.rpartition("/gen=")[2].split("/")[0]) for f in files)
+        """The number of the last whole generation."""
+        return self.spark.read.schema("id long").parquet(f"{self.path}/done").agg(F.max("id")).first()[0]
+
+    def _whole(self, name: str, schema: str) -> DataFrame:
+        return self._read(name, schema).where(F.col("gen") <= self._last())
 
     def _filters(self) -> DataFrame:
         return self._read("filters", FILTERS).where(F.col("gen") == self._last()).drop("gen")
 
-    def counts(self, before: int | None = None) -> DataFrame:
+    def counts(self) -> DataFrame:
         """The exact reference table: ``shard, k1, k2, refs, first, last``; keys without references are not in it."""
-        rows = self._read("counts", COUNTS)
-        if before is not None:
-            rows = rows.where(F.col("gen") < before)
+        rows = self._whole("counts", COUNTS)
         newest = F.max(F.struct("gen", "refs", "first", "last")).alias("_n")
         held = rows.groupBy(*KEY).agg(newest).select(*KEY, "_n.refs", "_n.first", "_n.last")
         return held.where("refs > 0")
 
     def live_postings(self) -> DataFrame:
-        gone = self._read("deleted", "doc_id long").groupBy("doc_id").agg(F.max("gen").alias("_gone"))
-        kept = self._read("postings", POSTINGS).join(gone, "doc_id", "left")
+        gone = self._whole("deleted", "doc_id long").groupBy("doc_id").agg(F.max("gen").alias("_gone"))
+        kept = self._whole("postings", POSTINGS).join(gone, "doc_id", "left")
         return kept.where("_gone IS NULL OR gen > _gone").drop("_gone", "gen")
 
     def _sharded(self, rows: DataFrame) -> DataFrame:
@@ -236,7 +246,7 @@ class LineIndex:
     # operations
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add documents; each id once, or again after it has been deleted."""
+        """Add documents. Rows of an id that is in already add their lines to that document; deletion takes all of them."""
         gen = self._last() + 1
         self._write(gen, postings=postings(ids_and_texts(docs, id_col, text_col), self.min_chars), deleted=[])
         own = self._read("postings", POSTINGS).where(F.col("gen") == gen)
@@ -245,7 +255,7 @@ class LineIndex:
         )
         if gen > 1:
             maybe = self._maybe(added, "seen", ["k1", "k2"], 1)
-            known = self.counts(gen).join(maybe, KEY, "left_semi")
+            known = self.counts().join(maybe, KEY, "left_semi")
             old = known.select(*KEY, F.col("refs").alias("_refs"), F.col("first").alias("_first"), F.col("last").alias("_last"))
             added = added.join(old, KEY, "left")
         else:
@@ -261,12 +271,13 @@ class LineIndex:
         ))
 
     def _store(self, gen: int, totals: DataFrame) -> None:
-        """Counts with what changes in the filters; written once, read for the filters."""
-        totals.select(*KEY, "refs", "first", "last", "seen", "repeated").write.parquet(f"{self.path}/counts/gen={gen}")
+        """Counts with what changes in the filters; written once, read for the filters. Then the generation is marked."""
+        self._write(gen, counts=totals.select(*KEY, "refs", "first", "last", "seen", "repeated"))
         changes = self._read("counts", COUNTS + ", seen int, repeated int").where(
             f"gen = {gen} AND (seen != 0 OR repeated != 0)"
         )
         self._write(gen, filters=self._changed_filters(changes))
+        self._mark(gen)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Take documents out again."""
@@ -283,7 +294,7 @@ class LineIndex:
             (-F.col("refs").isNull().cast("int")).alias("seen"),
             (-(F.col("_was") & F.coalesce(F.col("first") == F.col("last"), F.lit(True))).cast("int")).alias("repeated"),
         )
-        self._write(gen, deleted=ids)
+        self._write(gen, deleted=ids, postings=[])
         self._store(gen, both)
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
