@@ -7,6 +7,7 @@ import pytest
 
 from tidegrid.llm import chat, url_rules
 from tidegrid.llm.queries import PATTERN_RULES, SITE_RULES
+from tidegrid.llm.url_lists import HOST_PAIRS, PATH_PAIRS
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string, loss_spans string, turns int, pieces int"
 PIECES = ["</s>", "[INST]", "[/INST]", "[TURN]", "<s>", "\\", "\\0", "\\1", "é漢👍", " ", "\n", "ok", ""]
@@ -102,11 +103,43 @@ def test_verdicts(spark, by_id, monkeypatch, limit):
 def test_rules_are_filed_under_their_rarest_token(spark):
     urls = spark.createDataFrame([(f"http://spam.example.org/{k}",) for k in range(5)] + [("http://farm.x/",)], "url string")
     urls = urls.selectExpr("url", "substr(url, 8) AS target")
-    rules = [*PATTERN_RULES[:1], SITE_RULES[1], url_rules.PatternRule("any", "block", "zzz+")]
+    farm = url_rules.PatternRule("spam-farm", "block", "spam-farm", ("spam", "farm"))
+    rules = [farm, SITE_RULES[1], url_rules.PatternRule("any", "block", "zzz+")]
     got = {r.rule: r.token for r in url_rules.rule_index(urls, rules).collect()}
     assert got == {"spam-farm": "farm", "example.org/es/": "es", "any": ""}
 
 
+@pytest.mark.parametrize("junk", [True, False])
+def test_junk_list(spark, junk):
+    """Planted names of each category are blocked; names that only hold such words are left alone."""
+    blocked = [
+        "http://m.casino-win.example.com/en/1", "http://free-bets.example.com:80", "https://m.ads-track.example.com?x", "http://blog.adult-x.example.net/",
+        "http://www.spam-farm.example.com/de", "http://WWW.cheap-pills.example.com/a", "http://x.net/a/xxx-cams.html", "http://best-viagra.biz/",
+        "http://a.adserver.net/p.gif", "http://win-big.online-poker.io",
+    ]
+    left = [
+        "http://adult-education.example.com/", "http://casino.example.com/", "http://a.com/casinowin", "http://myspam-farms.org", "http://education-ads.com/",
+        "http://a.com/?q=spam-farm", "http://sex-education.org/en/", "http://trackads.com/", "http://pills.example.com/cheap", "http://a.com/en/spam-farmers",
+    ]
+    urls = blocked if junk else left
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, PATTERN_RULES).collect()}
+    assert [u for k, u in enumerate(urls) if (got[k] == "block") != junk] == []
+
+
+def test_every_rule_holds_its_literal():
+    """A rule's literals are tokens of each name that it fits, and names of rules differ."""
+    assert len(PATTERN_RULES) > 50 and len({r.rule for r in PATTERN_RULES}) == len(PATTERN_RULES)
+    for rule in PATTERN_RULES:
+        (word,) = rule.literals
+        category, where, _ = rule.rule.split("/")
+        pairs = (HOST_PAIRS if where == "host" else PATH_PAIRS).get(category, {}).get(word, "")
+        names = [n for c in pairs.split() for n in (f"{word}-{c}", f"{c}-{word}")] or [word]
+        for name in names:
+            target = f"{name}.example.org/" if where == "host" else f"example.org/{name}/"
+            assert re.search(rule.regex, target) and word in url_rules.tokens_of(target)
+
+
 def test_only_candidates_run_their_pattern(spark):
     """The pattern is a filter above the join on the token, and no Python runs."""
     pages = spark.createDataFrame([(1, "http://a.com/de/")], "page_id long, url string")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.llm import decontamination, language_id, quality_rules
 
@@ -150,6 +151,18 @@ def test_slopes_are_the_derivatives():
             assert slope[place] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-7)
 
 
+@pytest.mark.parametrize("per_row", [1, 2, 3, 5])
+def test_windows_cut_by_spark_are_those_of_train(spark, per_row):
+    settings = language_id.Settings(window=16, windows_per_row=per_row)
+    texts = ["", "a", "é" * 8, "b" * 17, *["".join(chr(97 + (k * k + n) % 26) for k in range(n)) for n in range(30, 400, 13)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").orderBy("k")
+    got = rows.select(language_id.spread_windows(F.col("text"), settings).alias("w")).collect()
+    for text, row in zip(texts, got):
+        windows = language_id.cut_windows(text.encode(), 16)
+        take = np.unique(np.linspace(0, len(windows) - 1, per_row).round().astype(int))
+        assert np.array_equal(np.concatenate([language_id.cut_windows(bytes(w), 16) for w in row.w]), windows[take])
+
+
 def test_language_of_odd_tables(odd, odd_pairs, none, by_id):
     small = language_id.Settings(per_label=20, rounds=2)
     model = language_id.fit(odd, small)

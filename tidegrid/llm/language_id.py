@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import encoded, id_out, ids_and_texts, map_texts
@@ -95,17 +95,21 @@ def cut_windows(text: bytes, length: int) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[str], settings: Settings = Settings()) -> Model | None:
+    """Train on windows spread over each text."""
+    cut = []
+    for text in texts:
+        windows = cut_windows(text, settings.window)
+        cut.append(windows[np.unique(np.linspace(0, len(windows) - 1, settings.windows_per_row).round().astype(int))])
+    return train_on_windows(cut, labels, settings)
+
+
+def train_on_windows(cut: list[np.ndarray], labels: list[str], settings: Settings = Settings()) -> Model | None:
     """Adam on the cross-entropy; the same rows in the same order give the same model."""
     s, names = settings, sorted(set(labels))
     if not names:
         return None
     rng = np.random.default_rng(s.seed)
-    cut, of = [], []
-    for text, label in zip(texts, labels):
-        windows = cut_windows(text, s.window)
-        take = np.unique(np.linspace(0, len(windows) - 1, s.windows_per_row).round().astype(int))
-        cut.append(windows[take])
-        of += [names.index(label)] * len(take)
+    of = [names.index(label) for windows, label in zip(cut, labels) for _ in windows]
     x, y = np.concatenate(cut), np.array(of)
     widest, maps = max(s.widths), s.filters * len(s.widths)
     mask = np.zeros((widest * s.embedding, maps), dtype=np.float32)
@@ -168,8 +172,21 @@ def _slopes(model: Model, x: np.ndarray, y: np.ndarray, weight_of: np.ndarray, m
     }
 
 
+def spread_windows(text: Column, settings: Settings) -> Column:
+    """The windows of a text that training takes, as ``train`` does: first, last and evenly between; bytes, the last one short."""
+    data = F.encode(text, "UTF-8")
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length(data) / settings.window) - 1)
+    steps = max(1, settings.windows_per_row - 1)
+    picks = [F.bround(last * F.lit(float(k)) / F.lit(float(steps))).cast("int") for k in range(settings.windows_per_row)]
+    return F.transform(F.array_distinct(F.array(*picks)), lambda at: F.substring(data, at * settings.window + 1, F.lit(settings.window)))
+
+
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
-    """Train on a bounded sample of the rows with a label and a letter."""
+    """Train on a bounded sample of the rows with a label and a letter.
+
+    Windows are cut before rows are drawn, so neither a task nor the driver holds whole
+    texts: the driver gets ``2 * per_label * windows_per_row`` windows for each label.
+    """
     rows = docs.select(
         F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         F.col(f"`{label_col}`").cast("string").alias("label"),
@@ -187,15 +204,16 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
         own = (F.col("label") == label) & (F.col("_draw") <= mark)
         below = own if below is None else below | own
     near = rows.withColumn("_draw", draw).where(below)
+    near = near.select("label", "_draw", "doc_id", spread_windows(F.col("text"), settings).alias("windows"))
     bound = len(marks) * settings.per_label
-    sample = near.orderBy("_draw", "doc_id", "text").limit(2 * bound).collect()
-    texts, labels, taken = [], [], dict.fromkeys([m[0] for m in marks], 0)
+    sample = near.orderBy("_draw", "doc_id", "windows").limit(2 * bound).collect()
+    cut, labels, taken = [], [], dict.fromkeys([m[0] for m in marks], 0)
     for row in sample:
         if taken[row.label] < settings.per_label:
             taken[row.label] += 1
-            texts.append(row.text.encode())
+            cut.append(np.concatenate([cut_windows(bytes(w), settings.window) for w in row.windows]))
             labels.append(row.label)
-    return train(texts, labels, settings)
+    return train_on_windows(cut, labels, settings)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

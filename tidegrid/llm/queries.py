@@ -21,6 +21,7 @@ from tidegrid.llm import (
     substring_dedup,
     suffix_dedup,
     token_files,
+    url_lists,
     url_rules,
     whitening,
 )
@@ -77,11 +78,7 @@ SITE_RULES = (
     url_rules.SiteRule("allow", "com", "/fr/"),
     url_rules.SiteRule("block", "com", "/de/"),
 )
-PATTERN_RULES = tuple(
-    url_rules.PatternRule(name, "block", rf"(^|[./-]){re_name}([./?#-]|$)", tuple(name.split("-")))
-    for name in ("spam-farm", "cheap-pills", "online-casino", "xxx-cams")
-    for re_name in (name,)
-)
+PATTERN_RULES = url_lists.junk_rules()
 
 
 def _op5_sql() -> str:
