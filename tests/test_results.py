@@ -154,6 +154,29 @@ def test_latin1_in_the_body_alone(spark, tmp_path):
     assert [r.place for r in csv.read_raw_csv(spark, str(tmp_path)).orderBy("date").collect()] == ["plain", "Zoë"]
 
 
+def test_files_of_one_folder_have_encodings_of_their_own(spark, tmp_path, monkeypatch):
+    head = "Date,Hour,Temperature(°C),place\n"
+    (tmp_path / "a.csv").write_bytes((head + "01/12/2017,1,-5.2,Zoë\n").encode())
+    (tmp_path / "b.csv").write_bytes(("\ufeff" + head + "02/12/2017,2,1.5,\"a, né\"\n\n").encode())
+    (tmp_path / "c.csv").write_bytes((head + "03/12/2017,3,0,Zoë\r\n04/12/2017,4,7,Bär\r\n").encode("latin-1"))
+    expected = [(1, -5.2, "Zoë"), (2, 1.5, "a, né"), (3, 0.0, "Zoë"), (4, 7.0, "Bär")]
+    for named in (1_000, 0):
+        monkeypatch.setattr(csv, "NAMED_FILES", named)
+        rows = csv.read_raw_csv(spark, str(tmp_path)).orderBy("date").collect()
+        assert [(r.hour, r.temperature, r.place) for r in rows] == expected
+        assert [r.date.day for r in rows] == [1, 2, 3, 4]
+
+
+def test_values_that_do_not_parse(spark, tmp_path):
+    lines = ["01/12/2017,1,2.5,a", "99/99/2017,2,3.5,b", "02/12/2017,x,4.5,c", "03/12/2017,,y,d", "04/12/2017,4"]
+    (tmp_path / "a.csv").write_text("Date,Hour,Temperature(°C),place\n" + "\n".join(lines) + "\n")
+    rows = csv.read_raw_csv(spark, str(tmp_path), unparsed="line").collect()
+    assert [r.line for r in rows] == [None, lines[1], lines[2], lines[3], None]
+    assert rows[1].date is None and (rows[1].hour, rows[1].temperature, rows[1].place) == (2, 3.5, "b")
+    assert rows[2].hour is None and rows[2].temperature == 4.5
+    assert (rows[3].hour, rows[3].temperature, rows[4].hour, rows[4].place) == (None, None, 4, None)
+
+
 def test_hourly_csv_goes_to_the_model_table(spark, tmp_path):
     header = "Date,Rented Bike Count,Hour,Temperature(°C),Humidity(%),Wind speed (m/s),Visibility (10m)," \
         "Dew point temperature(°C),Solar Radiation (MJ/m2),Rainfall(mm),Snowfall (cm),Seasons,Holiday,Functioning Day,station\n"

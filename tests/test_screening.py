@@ -177,6 +177,19 @@ def test_encodings(spark):
         encode.levels_of(df, "s", max_levels=2)
 
 
+def test_codes_of_many_levels(spark):
+    """100,000 levels, with NULL, ties in the lead, short and non-ASCII levels; a third of the rows have one level."""
+    text = F.when(F.col("id") % 3 == 0, "v7").when(F.col("id") == 1, None).otherwise(F.concat(F.lit("v"), F.col("id").cast("string")))
+    df = spark.range(160_000).select("id", text.alias("s"), F.lit(None).cast("string").alias("none"))
+    df = df.union(spark.createDataFrame([(-1, "", None), (-2, "é", None), (-3, "v", None), (-4, "𝒳", None), (-5, "\uffff", None)], df.schema))
+    rows = df.collect()
+    levels = {v: k for k, v in enumerate(sorted({r.s for r in rows if r.s is not None}))}
+    assert len(levels) > 100_000
+    coded = {r.id: r for r in encode.factor_codes(df, ["s", "none"]).collect()}
+    assert len(coded) == len(rows)
+    assert all(coded[r.id].s == levels.get(r.s, len(levels)) and coded[r.id].none == 0 for r in rows)
+
+
 def test_projection_helpers(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "demand int, hour_sin int, temperature int, target int")
     assert selecting.feature_set(df, 17).columns == ["temperature", "hour_sin"]

@@ -99,12 +99,13 @@ def a04(spark, folder):
     return board.select("model_name", "rank", "parameters", *scores)
 
 
-@query("b01_split_csv", _TABLE_SQL + " AND split = 'test'")
+@query("b01_split_csv", _TABLE_SQL)
 def b01(spark, folder):
     table = _engineered(spark, folder)
-    _, test_path = tables.write_split_csv(table, scratch_path(spark, "csv"))
-    _, test = csv.read_feature_pair(spark, test_path, test_path, _pair_schema(table.drop("split")))
-    return test.withColumn("split", F.lit("test")).select(*table.columns)
+    paths = tables.write_split_csv(table, scratch_path(spark, "csv"))
+    train, test = csv.read_feature_pair(spark, *paths, _pair_schema(table.drop("split")))
+    halves = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return halves.select(*table.columns)
 
 
 @query("b01_split_parquet", _TABLE_SQL)
@@ -179,27 +180,26 @@ def b05(spark, folder):
 
 
 @query("b07_predictions_long", predictions_sql() + """
-SELECT series, ts, actual, predicted FROM pred WHERE model = 'seasonal'""")
+SELECT model, split, series, ts, actual, predicted FROM pred""")
 def b07(spark, folder):
-    rows = predictions(spark, folder).where("model = 'seasonal'")
-    long = tables.long_predictions(rows, HOURLY, "actual", "predicted")
+    long = tables.long_predictions(predictions(spark, folder), HOURLY, "actual", "predicted", ["model", "split"])
     path = scratch_path(spark, "predictions")
     long.write.parquet(path)
     return spark.read.schema(long.schema).parquet(path)
 
 
 @query("b08_predictions_wide", predictions_sql() + """,
-n AS (SELECT series, split, actual, predicted, row_number() OVER (PARTITION BY series, split ORDER BY ts) AS row_number
-      FROM pred WHERE model = 'persistence'),
-a AS (SELECT * FROM n WHERE split = 'train'),
-b AS (SELECT * FROM n WHERE split = 'test')
-SELECT coalesce(a.series, b.series) AS series, coalesce(a.row_number, b.row_number) AS row_number,
-       a.actual AS actual_train, a.predicted AS predicted_train, a.actual - a.predicted AS residuals_train,
-       b.actual AS actual_test, b.predicted AS predicted_test, b.actual - b.predicted AS residuals_test
-FROM a FULL OUTER JOIN b ON a.series = b.series AND a.row_number = b.row_number""")
+n AS (SELECT model, series, split, actual, predicted,
+             row_number() OVER (PARTITION BY model, series, split ORDER BY ts) AS row_number FROM pred)
+SELECT model, series, row_number,
+       max(CASE WHEN split = 'train' THEN actual END) AS actual_train, max(CASE WHEN split = 'train' THEN predicted END) AS predicted_train,
+       max(CASE WHEN split = 'train' THEN actual - predicted END) AS residuals_train,
+       max(CASE WHEN split = 'test' THEN actual END) AS actual_test, max(CASE WHEN split = 'test' THEN predicted END) AS predicted_test,
+       max(CASE WHEN split = 'test' THEN actual - predicted END) AS residuals_test
+FROM n GROUP BY model, series, row_number""")
 def b08(spark, folder):
-    rows = predictions(spark, folder).where("model = 'persistence'")
-    return tables.wide_predictions(rows, HOURLY, "actual", "predicted")
+    by_model = HOURLY.at(series=("model", *HOURLY.series))
+    return tables.wide_predictions(predictions(spark, folder), by_model, "actual", "predicted")
 
 
 @query("b10_scaler_state", hourly_sql() + f""",

@@ -53,8 +53,9 @@ def write_manifest(df: DataFrame, path: str, exclude: Sequence[str] = ()) -> lis
     return names
 
 
-def long_predictions(df: DataFrame, timeline: Timeline, actual: str, predicted: str) -> DataFrame:
-    return df.select(*timeline.keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
+def long_predictions(df: DataFrame, timeline: Timeline, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row per prediction; ``by`` names further keys, such as the model and the split."""
+    return df.select(*by, *timeline.keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
 
 
 def wide_predictions(df: DataFrame, timeline: Timeline, actual: str, predicted: str, split: str = "split") -> DataFrame:

@@ -6,32 +6,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.columns import RAW_HEADER, raw_type
-from tidegrid.functions.calendar import parse_date
 
 
-def header_and_encoding(spark: SparkSession, path: str) -> tuple[list[str], str]:
-    """Column names and the encoding, which the files of ``path`` share.
+#: Up to so many files that are no UTF-8 are named in the plan; beyond, the files' encodings are joined.
+NAMED_FILES = 1_000
+_BOM = "\ufeff"
 
-    Bad UTF-8 does not raise in Spark, it becomes a replacement character; so a path
-    with any line that is no UTF-8 is latin-1. A pass over the lines, up to the first such.
-    """
-    odd = spark.read.text(path).where("NOT is_valid_utf8(value)")
-    encoding = "UTF-8" if odd.isEmpty() else "ISO-8859-1"
-    return spark.read.options(header=True, encoding=encoding).csv(path).columns, encoding
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the first file, whatever its encoding."""
+    names = spark.read.options(header=True, encoding="ISO-8859-1").csv(path).columns
+    try:
+        names = [n.encode("latin-1").decode() for n in names]
+    except UnicodeError:
+        pass
+    return [n.removeprefix(_BOM) for n in names]
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    """``line`` in the encoding of its file: UTF-8, or latin-1 where any line of the file is not UTF-8."""
+    kept = lines.withColumn("_file", F.col("_metadata.file_path"))
+    odd = kept.where("NOT is_valid_utf8(value)").select("_file").distinct()
+    files = [r[0] for r in odd.limit(NAMED_FILES + 1).collect()]
+    if not files:
+        return kept.withColumnRenamed("value", "line").drop("_file")
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    if len(files) <= NAMED_FILES:
+        line = F.when(F.col("_file").isin(files), latin).otherwise(F.col("value"))
+        return kept.withColumn("line", line).drop("_file", "value")
+    marked = kept.join(odd.withColumn("_odd", F.lit(True)), "_file", "left")
+    return marked.withColumn("line", F.when(F.col("_odd"), latin).otherwise(F.col("value"))).drop("_file", "_odd", "value")
 
 
-def read_raw_csv(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
+def read_raw_csv(
+    spark: SparkSession, path: str, extra: dict[str, str] | None = None, unparsed: str | None = None
+) -> DataFrame:
     """The raw hourly table under our names, with ``date`` parsed.
 
-    Known headers get their type; ``extra`` types further columns such as the
-    series key, anything else stays text. NULL marks a value that does not parse.
+    Known headers get their type; ``extra`` types further columns such as the series
+    key, anything else stays text. The files of ``path`` share a header; each is read as
+    UTF-8 or latin-1 for itself. A value that does not parse is NULL and leaves the rest
+    of its line alone; ``unparsed`` names a column that holds the line in that case.
+    Quoted values may not hold line breaks.
     """
-    names, encoding = header_and_encoding(spark, path)
-    ours = [RAW_HEADER.get(n, n) for n in names]
-    types = [raw_type(o) if n in RAW_HEADER else (extra or {}).get(n, "string") for n, o in zip(names, ours)]
-    schema = ", ".join(f"`{o}` {t}" for o, t in zip(ours, types))
-    raw = spark.read.options(header=True, encoding=encoding).schema(schema).csv(path)
-    return raw.withColumn("date", parse_date("date")) if "date" in ours else raw
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    names = [n for n in _header(spark, path) if n not in folders]
+    fields = [f"c{i}" for i in range(len(names))]
+    parsed = F.from_csv("line", ", ".join(f"{f} string" for f in fields), {"mode": "PERMISSIVE"})
+    rows = _decoded(lines).where("length(trim(line)) > 0").select(*folders, "line", parsed.alias("_row"))
+    # a first line that is the header again, in each file
+    title = F.lit(True)
+    for name, field in zip(names, fields):
+        found = F.col(f"_row.{field}")
+        title &= F.when(F.lit(field == "c0"), F.ltrim(found, F.lit(_BOM))).otherwise(found).eqNullSafe(F.lit(name))
+    rows = rows.where(~title)
+    values, bad = [], F.lit(False)
+    for name, field in zip(names, fields):
+        ours = RAW_HEADER.get(name, name)
+        kind = raw_type(ours) if name in RAW_HEADER else (extra or {}).get(name, "string")
+        text = F.col(f"_row.{field}")
+        value = F.try_to_date(text, "dd/MM/yyyy") if ours == "date" else text.try_cast(kind)
+        bad |= text.isNotNull() & value.isNull()
+        values.append(value.alias(ours))
+    line = [F.when(bad, F.col("line")).alias(unparsed)] if unparsed else []
+    return rows.select(*values, *folders, *line)
 
 
 def read_hourly_csv(spark: SparkSession, path: str, extra: dict[str, str] | None = None) -> DataFrame:
