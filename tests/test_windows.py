@@ -237,3 +237,23 @@ def test_a_false_promise_of_a_complete_series_raises(spark, rows, message, block
     with pytest.raises(Exception, match=message):
         over_past(table, HOURS.at(complete=True, block=block), 24, lambda w: {"lag": F.lag("k", 24).over(w)}).collect()
     assert over_past(table, HOURS.at(block=block), 24, lambda w: {"lag": F.lag("k", 24).over(w)}).count() == len(rows)
+
+
+def test_empty_cells_are_made_after_the_last_shuffle(spark):
+    """Neither one task nor a shuffle holds the empty cells; borders, rows without a time or a series stay right."""
+    rows = [(1, 0, 2), (1, 1, 3), (1, 5, 1), (1, 5, 4), (2, 11, 7), (None, 3, 8), (None, None, 9), (3, None, 5)]
+    events = spark.createDataFrame(rows, "series bigint, h int, v int").selectExpr(
+        "series", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, h) AS ts", "v", "1 AS seen")
+    measures = {"n": "count(seen)", "total": "coalesce(sum(v), -1)", "top": "max(v)"}
+    for block in (1, 2, 3, 4096):
+        filled = fill_grid(events, HOURS.at(block=block), measures)
+        plan = filled._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("HashAggregate(keys=[series")
+        got = sorted([(r.series or 0, -1 if r.ts is None else r.ts.hour, r.n, r.total, r.top) for r in filled.collect()], key=str)
+        want = []
+        for series in {r[0] for r in rows}:
+            for hour in [*range(12), None]:
+                values = [v for s, h, v in rows if (s, h) == (series, hour)]
+                if values or hour is not None:
+                    want.append((series or 0, -1 if hour is None else hour, len(values), sum(values) if values else -1, max(values, default=None)))
+        assert got == sorted(want, key=str), block
