@@ -257,3 +257,12 @@ def test_empty_cells_are_made_after_the_last_shuffle(spark):
                 if values or hour is not None:
                     want.append((series or 0, -1 if hour is None else hour, len(values), sum(values) if values else -1, max(values, default=None)))
         assert got == sorted(want, key=str), block
+
+
+def test_numbers_need_no_join_and_keep_null_keys_and_duplicates(spark):
+    rows = [(k, h) for k in ("a", None) for h in (5, 5, 70000, 1 << 40, (1 << 40) + 1)] + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, h bigint")
+    numbered = number_by_hash(df, ["k"], F.col("h"), 41, ["h"], "n", "of")
+    assert "Join" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.k or "", r.n, r.of, r.h) for r in numbered.collect())) == sorted(
+        (k or "", i + 1, 5, h) for k in ("a", None) for i, h in enumerate(sorted(x for y, x in rows if y == k)))

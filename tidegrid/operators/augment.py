@@ -83,7 +83,8 @@ def mixup_pairs(
 
     Rows are numbered by hash; the partner is looked up by number in an equi-join.
     Every number occurs once, so no partner key is hot on the build side and a
-    partner number is drawn about once. ``order``, ``chance`` (0 to 1), ``partner``
+    partner number is drawn about once. Both sides are as long as the table, whatever
+    its files' sizes let the planner expect, so they are merged, never broadcast. ``order``, ``chance`` (0 to 1), ``partner``
     (a non-negative integer) and ``weight`` replace the hashed draws.
     """
     order = order if order is not None else key_hash(keys, seed)
@@ -96,7 +97,7 @@ def mixup_pairs(
     )
     others = numbered.select(
         F.col("_number").alias("_partner_number"), F.struct(*features, target).alias("_other")
-    )
+    ).hint("merge")
     joined = drawn.where(F.col("_mixed")).join(others, F.col("_partner") == F.col("_partner_number"))
     mixed = joined.withColumn("_w", weight).withColumns(_mix(features, target, F.col("_w")))
     as_is = drawn.where(~F.col("_mixed")).withColumns({c: F.col(c).cast("double") for c in [*features, target]})
@@ -138,6 +139,6 @@ def mixup_batches(
     others = placed.select(
         F.col("batch").alias("_other_batch"), F.col("_drawn").alias("_other_place"),
         F.struct(*features, target).alias("_other"),
-    )
+    ).hint("merge")
     joined = placed.join(others, (F.col("batch") == F.col("_other_batch")) & (F.col("_place") == F.col("_other_place")))
     return joined.withColumn("_w", weight).withColumns(_mix(features, target, F.col("_w"))).select(*df.columns, "batch")
