@@ -292,3 +292,27 @@ def test_stack_takes_windows_and_points(spark, learning_rows):
 def test_choice_takes_the_lowest_score(spark):
     df = spark.createDataFrame([("s", "b", 1.0), ("s", "a", 1.0), ("s", "c", 2.0)], "series string, model string, RMSE double")
     assert combine.choose(df, ["series"]).collect()[0].model == "a"
+
+
+def test_shapes_count_the_parts_of_a_stage_in_its_own_pass(spark):
+    from tidegrid.operators import quality
+
+    raw = spark.range(10).withColumn("half", F.when(F.col("id") < 3, "a").when(F.col("id") < 8, "b"))
+    kept = raw.where("id > 0").withColumn("more", F.lit(1))
+    halves = {h: ("kept", f"half = '{h}'") for h in "ab"}
+    shapes = quality.shapes({"raw": raw, "kept": kept}, "raw", halves)
+    text = shapes._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Range (0, 10") == 2
+    assert {tuple(r) for r in shapes.collect()} == {
+        ("raw", 10, 2, 100.0), ("kept", 9, 3, 90.0), ("a", 2, 3, 20.0), ("b", 5, 3, 50.0)}
+    empty = quality.shapes({"raw": raw.where("id < 0")}, "raw").first()
+    assert (empty.row_count, empty.retained_percent) == (0, None)
+
+
+def test_fits_deal_out_partitions_of_too_many_rows(spark, monkeypatch):
+    from tidegrid.models import trees
+
+    rows = spark.range(0, 100, 1, 2)
+    assert trees.dealt(rows) is rows
+    monkeypatch.setattr(trees, "FIT_ROWS", 10)
+    assert trees.dealt(rows).rdd.getNumPartitions() == 10 and trees.dealt(rows).count() == 100
