@@ -105,11 +105,8 @@ SELECT stage, row_count, column_count, {s6('100.0e0 * row_count / whole', 'retai
 def g07(spark, folder):
     raw = hourly_events(spark, folder)
     table = model_table(raw, HOURLY, SPLIT_DATE)
-    stages = {
-        "raw": raw, "complete": table,
-        "train": table.where("split = 'train'"), "test": table.where("split = 'test'"),
-    }
-    return quality.shapes(stages, "raw").withColumn("retained_percent", r6("retained_percent"))
+    halves = {half: ("complete", f"split = '{half}'") for half in ("train", "test")}
+    return quality.shapes({"raw": raw, "complete": table}, "raw", halves).withColumn("retained_percent", r6("retained_percent"))
 
 
 def _describe_sql(column: str, by: str) -> str:
