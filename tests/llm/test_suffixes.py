@@ -102,3 +102,13 @@ def test_equal_groups(length):
     assert sorted(map(sorted, got.values())) == sorted(v for v in plain.values() if len(v) > 1)
     assert np.array_equal(groups, np.sort(groups))
     assert len(multikey.equal_groups(np.zeros(0, np.uint8), np.zeros(0, np.int64), length)[0]) == 0
+
+
+def test_packed_texts_are_shuffled_once(odd, capsys):
+    done = suffix_dedup.dedup_bytes(odd, 20, 5)
+    done.explain()
+    plan = capsys.readouterr().out.splitlines()
+    packed = [k for k, line in enumerate(plan) if "hashpartitioning(doc_id" in line and "REPARTITION_BY_COL" in line]
+    filters = [" ".join(plan[k + 1].split("Filter")[1:]) for k in packed if "Filter" in plan[k + 1]]
+    # both joins need the same rows below the exchange, or it cannot be one
+    assert len(packed) == len(filters) == 2

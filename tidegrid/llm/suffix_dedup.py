@@ -370,8 +370,9 @@ def dedup_bytes(
     rows = ids_and_texts(docs, id_col, text_col)
     left = _repeated(_suffixes(rows, window, lead).repartition("lead").sortWithinPartitions("lead"))
     wanted = left.groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
-    # one exchange of the packed texts for both joins
-    texts = pack(rows).repartition("doc_id", "key")
+    # one exchange of the packed texts for both joins: neither key is ever null, but an inner join puts
+    # this filter before its own exchange, which would then not be the one of the outer join
+    texts = pack(rows).where("doc_id IS NOT NULL AND key IS NOT NULL").repartition("doc_id", "key")
     cut = _cut_blocks(texts.join(wanted, ["doc_id", "key"]), window, lead)
     # the lead's bytes are part of the block and not carried beside it
     order = [F.expr(f"substring(block, lead_at + 1, {int(lead)})"), F.col("doc_id"), F.col("key")]
