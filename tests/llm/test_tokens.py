@@ -120,3 +120,15 @@ def test_files_are_laid_out_for_selective_reads(spark, odd):
     assert one.count() == 1 and "doc_id" in one._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
     counts = token_files.read_tokens(spark, path, ids=False)
     assert "ids" not in counts.columns and "ids:" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_and_cases_are_parted_before_words_are_remembered(library):
+    words = token_files.WordIds(WORDS)
+    for text in (
+        "Word word. WORD, word... (word) word). word.) wort'. it's. IT'S! ÉLAN; élan?! ß- Straße-Weg. a²! ²! 3a. x|",
+        "<|endoftext|> A. <|ENDOFTEXT|> b. c<|endoftext|>.", "“Word.” Σας. WORD.\xa0word,\x85word;\x1cWord.", "ÀÖØÞ. àöøþÿ× ÷. µ. ª.",
+    ):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == library[WORDS].encode(text, add_special_tokens=False).ids, text
+    words = token_files.WordIds(WORDS)
+    words.encode("word Word WORD word. Word, WORD; word?")
+    assert set(words.words) == {"word", ".", ",", ";", "?"}

@@ -16,6 +16,7 @@ first. Repeated rows are stored each, in an order of their own among equal ids.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -30,11 +31,15 @@ from pyspark.sql import functions as F
 from tidegrid.llm.bpe import byte_characters
 from tidegrid.llm.common import ROWS, Recent, id_out, ids_and_texts, lists, strings
 
-#: Words and parts of words that a Python worker remembers, and as many from before; of time only.
-CACHED_WORDS = 250_000
+#: Words that a Python worker remembers, and as many from before; of time only.
+CACHED_WORDS = 400_000
 #: Punctuation that is cut off a word, and letters whose small form hangs on what is around them.
 MARKS = ".,!?;:%&*#$|()\"-"
 ODD_CASE = "\u03a3\u0130"
+#: Marks after a small Latin-1 letter, up to the end of the word.
+END_MARKS = re.compile(rf"[{re.escape(MARKS)}](?<=[a-zß-öø-ÿ].)[{re.escape(MARKS)}]*(?!\S)")
+#: How the names of special tokens begin, which are found before case is lowered.
+SPECIAL = "<|"
 #: Characters that Python counts as blanks and the tokenizer does not.
 SEPARATORS = tuple(map(chr, range(0x1C, 0x20)))
 #: Up to so many files their offsets (a row of two numbers each) are broadcast.
@@ -47,7 +52,8 @@ class WordIds:
 
     The tokenizer drops blanks and never joins what they part, so the ids of a text
     are those of its words in turn. It also lowers case and never joins a letter to
-    punctuation, so a word of letters and the marks after it are remembered apart.
+    punctuation, so a word of letters and the marks after it are remembered apart. In texts
+    of Latin-1, where each letter has one small form, both are done before words are looked up.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -57,8 +63,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
         self.words = Recent(self._word, CACHED_WORDS)
-        self.stems = Recent(self._stem, CACHED_WORDS)
         self.marks = Recent(self._part, 10_000)
         self.stand_ins = {b: c for c, b in byte_characters().items()}
 
@@ -69,9 +75,11 @@ class WordIds:
         """Of a lower-case word of letters: one piece, so only the library's BPE itself is asked."""
         if not stem.isascii():
             stem = stem.encode().decode("latin-1").translate(self.stand_ins)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(stem)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(stem)]).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return self._stem(word)
         stem = word.rstrip(MARKS)
         if not stem.isalpha() or ODD_CASE[0] in stem or ODD_CASE[1] in stem:
             return self._part(word)
@@ -79,15 +87,25 @@ class WordIds:
         # some letters are taken apart by the normaliser into a letter and a mark, which ends a piece
         if not low.isascii() and (not low.isalpha() or not unicodedata.is_normalized("NFC", low)):
             return self._part(word)
-        ids = self.stems[low]
+        ids = self._stem(low) if low == word else self.words[low]
         return ids + self.marks[word[len(stem) :]] if len(stem) < len(word) else ids
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in SEPARATORS):
             return self._part(text)
+        if _latin(text) and SPECIAL not in text:
+            text = END_MARKS.sub(r" \g<0>", text.lower())
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=2)
 def word_ids(tokenizer_path: str) -> WordIds:
     """One for all tasks of a Python worker, as what it remembers holds for all."""
