@@ -115,3 +115,12 @@ def test_sql_twins_agree_on_the_small_tables(spark, folder):
         order = sorted(range(len(names)), key=lambda i: names[i])
         want = [tuple(r[i] for i in order) for r in cursor.fetchall()]
         assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want)), name
+
+
+def test_window_tasks_are_not_put_together_by_compressed_size(spark, folder, capsys):
+    contract.queries()["f06_temperature_rolling"](spark, folder).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "_block" in next(x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x)
+    # the window takes that exchange as its own
+    above = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert above.count("Exchange") == 1 and "Window" in above
