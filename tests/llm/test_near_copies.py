@@ -129,6 +129,30 @@ def test_many_rows_of_one_id(spark):
     assert sorted(map(repr, ((r.doc_id, r.text, r.n_words, r.n_removed) for r in got))) == sorted(map(repr, want))
 
 
+def test_copies_of_one_id_list_blocks_and_spans_once(spark, monkeypatch):
+    """However many rows have one id and text, each gets the lists of one: work grows with the rows, not their square."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(160)]
+    rows = [(1, " ".join(["a", *base[:100]]))] + [(2, " ".join([*base[:90], *"bcde"]))] * 30 + [(None, " ".join([*base[:70], "f"]))] * 20
+    listed = {}
+
+    def spy(name, column):
+        real = getattr(substring_dedup, name)
+
+        def wrapped(table, *args):
+            listed[column] = [len(r[0]) - len(set(r[0])) for r in table.select(column).where(f"{column} IS NOT NULL").collect()]
+            return real(table, *args)
+
+        monkeypatch.setattr(substring_dedup, name, wrapped)
+
+    spy("_requested_windows", "places")
+    spy("_parse", "spans")
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.dedup_substrings(table).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text, r.n_words, r.n_removed) for r in got))) == sorted(map(repr, brute_windows(rows, 50)))
+    assert len(listed["places"]) >= 20 and len(listed["spans"]) == 31 and not any(listed["places"] + listed["spans"])
+
+
 def test_factor_reference_holds_the_words(spark):
     rng = random.Random(2)
     base = [f"w{rng.randrange(10_000)}" for _ in range(400)]

@@ -21,6 +21,7 @@ partitions. Texts are shuffled once, packed, by id.
 
 A null or empty text has no words. A null id is the lowest id. Rows of one id are
 parsed each for itself, and only documents with smaller ids count as references.
+Rows of one id and text share their blocks and spans, which are listed once for all.
 """
 
 from __future__ import annotations
@@ -170,10 +171,10 @@ def _requested_windows(rows: DataFrame, window: int) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out, counts = [], []
-            starts, lengths = batch.column("starts"), batch.column("lengths")
-            for text, start, n in zip(unpacked_texts(batch), starts, lengths):
+            for text, places in zip(unpacked_texts(batch), batch.column("places")):
                 hashes = words.hashes(text.split())
-                start, n = start.values.to_numpy(), n.values.to_numpy()
+                places = places.values.to_numpy()
+                start, n = places >> _RUN_BITS, places & ((1 << _RUN_BITS) - 1)
                 at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
                 one, two = words.sums(hashes, _ONE), words.sums(_mixed(hashes), _TWO)
                 out.append((
@@ -211,13 +212,11 @@ def dedup_substrings(
     first = write_and_read(first, "first-blocks")
     held = parts.join(first, ["anchor", "content"])
     held = write_and_read(held.select(
-        "doc_id", "key", F.shiftright("place", _RUN_BITS).alias("start"), F.col("place").bitwiseAND((1 << _RUN_BITS) - 1).alias("n"),
-        "mixed", F.col("ref.doc_id").alias("ref_doc"), F.shiftright("ref.place", _RUN_BITS).alias("ref_start"),
+        "doc_id", "key", "place", "mixed", F.col("ref.doc_id").alias("ref_doc"), F.shiftright("ref.place", _RUN_BITS).alias("ref_start"),
     ), "held-blocks")
-    copied = held.where("ref_doc < doc_id").select("doc_id", "key", "start", "n", "ref_doc", "ref_start")
-    wanted = held.where("ref_doc = doc_id AND mixed").groupBy("doc_id", "key").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths")
-    )
+    copied = held.where("ref_doc < doc_id").select("doc_id", "key", "place", "ref_doc", "ref_start")
+    # sets, here and below: with lists, n rows of one id and text would get n lists each
+    wanted = held.where("ref_doc = doc_id AND mixed").groupBy("doc_id", "key").agg(F.collect_set("place").alias("places"))
     # one exchange of the packed texts, used by all joins below
     texts = pack(rows).repartition("doc_id", "key")
     windows = _requested_windows(texts.join(wanted, ["doc_id", "key"]), window)
@@ -228,10 +227,11 @@ def dedup_substrings(
     least = least.where("ref_doc != _high").select(*flipped, "ref_doc")
     extended = windows.withColumns({"g1": F.bitwise_not("h1"), "g2": F.bitwise_not("h2")}).join(least, ["g1", "g2"])
     extended = extended.where("ref_doc < doc_id").select(
-        "doc_id", "key", "start", F.lit(1).cast("long").alias("n"), "ref_doc", F.lit(-1).cast("long").alias("ref_start"),
+        "doc_id", "key", F.shiftleft("start", _RUN_BITS).bitwiseOR(F.lit(1)).alias("place"), "ref_doc",
+        F.lit(-1).cast("long").alias("ref_start"),
     )
     spans = copied.union(extended).groupBy("doc_id", "key").agg(
-        F.sort_array(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start"))).alias("spans")
+        F.sort_array(F.collect_set(F.struct("place", "ref_doc", "ref_start"))).alias("spans")
     )
     parsed = _parse(texts.join(spans, ["doc_id", "key"], "left"), window)
     return parsed.select(id_out(), "text", "n_words", "n_removed", "factors")
@@ -241,9 +241,10 @@ FACTOR = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ref_doc", p
 
 
 def _factors(spans: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Sorted spans (start, windows, reference, its start) as factors that go on as long as their reference does."""
+    """Sorted spans (place, reference, its start) as factors that go on as long as their reference does."""
     out: list[list[int]] = []
-    for start, n, ref, at in spans.tolist():
+    for place, ref, at in spans.tolist():
+        start, n = place >> _RUN_BITS, place & ((1 << _RUN_BITS) - 1)
         last = out[-1] if out else None
         follows = last and ref == last[2] and start <= last[0] + last[1] - window + 1
         if follows and (at < 0 or last[3] < 0 or start - last[0] == at - last[3]):
