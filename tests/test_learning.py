@@ -1,11 +1,13 @@
 """The learning queries do their whole work, and their shared steps only once."""
 
 import datetime
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.models import trees
+from tidegrid.models import trees, tuning
+from tidegrid.queries import QUERIES as learning_queries
 from tidegrid.queries import learning
 from tidegrid.session import FILE_BY_FILE, settings, write_and_read
 
@@ -80,3 +82,26 @@ def test_a_fit_gets_its_partitions_without_adaptive_execution(rows, spark, monke
     few = rows.limit(50)
     with trees.dealing(few, ["target"]) as part:
         assert part is few and spark.conf.get(AE) == before
+
+
+def whole(function, *args, **named):
+    """The settings of a call, by name, with the defaults of the operator."""
+    call = inspect.signature(function).bind(*args, **named)
+    call.apply_defaults()
+    return call.arguments
+
+
+@pytest.mark.parametrize("name", ["i03_grid_search", "b09_best_parameters"])
+def test_a_search_runs_the_whole_grid(spark, events, monkeypatch, name):
+    calls, search = [], tuning.grid_search
+
+    def noted(*args, **named):
+        calls.append(whole(search, *args, **named))
+        return tuning.SearchResult(None, {"maxIter": 1, "maxDepth": 2}, [(1, 2, 3.0)])
+
+    monkeypatch.setattr(tuning, "grid_search", noted)
+    assert learning_queries[name](spark, events).count() > 0
+    (call,) = calls
+    assert (len(call["rounds"]) * len(call["depths"]), call["folds"], call["repeats"]) == (24, 10, 3)
+    assert max(call["rounds"]) == 300 and call["settings"] == trees.TreeSettings()
+    assert call["train"].where("split != 'train'").isEmpty()
