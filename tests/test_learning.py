@@ -6,7 +6,7 @@ import inspect
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.models import trees, tuning
+from tidegrid.models import combine, trees, tuning
 from tidegrid.queries import QUERIES as learning_queries
 from tidegrid.queries import learning
 from tidegrid.session import FILE_BY_FILE, settings, write_and_read
@@ -105,3 +105,31 @@ def test_a_search_runs_the_whole_grid(spark, events, monkeypatch, name):
     assert (len(call["rounds"]) * len(call["depths"]), call["folds"], call["repeats"]) == (24, 10, 3)
     assert max(call["rounds"]) == 300 and call["settings"] == trees.TreeSettings()
     assert call["train"].where("split != 'train'").isEmpty()
+
+
+def test_noise_is_written_in_compiled_methods(spark, events, monkeypatch):
+    limits = []
+
+    def noted(df, label):
+        limits.append((label, spark.conf.get("spark.sql.codegen.hugeMethodLimit")))
+        return write_and_read(df, label)
+
+    monkeypatch.setattr(learning, "write_and_read", noted)
+    got = learning_queries["i06_noisy_copies"](spark, events)
+    assert limits[-1] == ("noisy", "8000") and got.count() == learning._rows(spark, events).count()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") != "8000"
+
+
+def test_an_ensemble_deals_rows_out_once(rows, spark, monkeypatch):
+    monkeypatch.setattr(trees, "FIT_ROWS", 60)
+    calls, dealt = [], trees.dealt
+
+    def noted(train):
+        calls.append(train)
+        return dealt(train)
+
+    for module in (trees, combine):
+        monkeypatch.setattr(module, "dealt", noted, raising=False)
+    models = combine.fit_ensemble(rows.where("split = 'train'"), "target", SMALL, (1, 2))
+    assert len(models) == 2 and len(calls) == 1
+    assert [m.getOrDefault("seed") for m in models] == [1, 2]
