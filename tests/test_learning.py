@@ -107,6 +107,19 @@ def test_a_search_runs_the_whole_grid(spark, events, monkeypatch, name):
     assert call["train"].where("split != 'train'").isEmpty()
 
 
+@pytest.mark.parametrize("name", ["i04_importance", "i02_stack"])
+def test_a_fit_has_all_rounds(spark, events, monkeypatch, name):
+    calls, fit = [], trees.fit_trees
+
+    def noted(*args, **named):
+        calls.append(whole(fit, *args, **named)["settings"])
+        return fit(*args, **{**named, "settings": SMALL})
+
+    monkeypatch.setattr(trees, "fit_trees", noted)
+    assert learning_queries[name](spark, events).count() in (2, 10)
+    assert calls == [trees.TreeSettings()] and (calls[0].depth, calls[0].rounds) == (6, 500)
+
+
 def test_noise_is_written_in_compiled_methods(spark, events, monkeypatch):
     limits = []
 
