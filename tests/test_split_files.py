@@ -57,3 +57,14 @@ def test_rows_are_not_sorted_by_split(spark, tmp_path):
     rows = df.where("split = 'train'").exceptAll(spark.read.parquet(path).where("split = 'train'").select("id", "split"))
     assert rows.count() == 0 and spark.read.parquet(path).count() == 3000
     assert spark.read.csv(train, header=True).count() == 2000 and spark.read.csv(test, header=True).count() == 1000
+
+
+def test_split_csv_files_are_compressed(spark, tmp_path):
+    df = spark.range(0, 2000, numPartitions=2).selectExpr("id", "id % 3 / 7.0D AS x", "1 AS Season_Spring", "IF(id % 4 = 0, 'test', 'train') AS split")
+    train, test = tables.write_split_csv(df, str(tmp_path / "csv"))
+    files = [f for f in (tmp_path / "csv").rglob("part-*") if not f.name.startswith(".")]
+    assert len(files) == 4 and all(f.name.endswith(".csv.gz") and f.read_bytes()[:2] == b"\x1f\x8b" for f in files)
+    read = [spark.read.options(header=True).schema("id long, x double, Season_Spring boolean").csv(p) for p in (train, test)]
+    want = df.selectExpr("id", "x", "true AS Season_Spring", "split")
+    got = read[0].selectExpr("*", "'train' AS split").unionByName(read[1].selectExpr("*", "'test' AS split"))
+    assert got.count() == 2000 and want.exceptAll(got).isEmpty()
